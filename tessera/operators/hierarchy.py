@@ -57,7 +57,7 @@ def hierarchies(links: DataFrame) -> DataFrame:
     * no links: no rows.  Repeated and parallel links change nothing.
     """
     parents = stage(chosen_parents(links), "parents")
-    names = parents.select("id").union(parents.select("parent").distinct()).distinct()
+    names = links.select(F.col("parent").alias("id")).union(links.select(F.col("child").alias("id"))).distinct()
     root = F.col("parent").isNull()
     # below: the names from just under the ancestor down to the node
     first = names.join(parents, "id", "left").select(
