@@ -9,9 +9,15 @@ from tessera.functions.text import name_or_null
 from tessera.llm.bpe import TOKENIZERS_DIR, token_count, token_ids
 from tessera.llm.mixture import mixture, shares
 from tessera.llm.setjoin import similar_sets
+from tessera.llm.sourcefiles import CUT, foreign_files
 from tessera.sources.tables import table
 
 
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    scored = foreign_files(table(spark, d, "src_files"), table(spark, d, "vendor_index"))
+    return scored.filter(F.col("known") | (F.col("score") >= CUT)).select("file_id")
+
+
 def p5_sets(spark: SparkSession, d: str) -> DataFrame:
     """The sets of members per class and of bound classes per module."""
     nothing = F.array().cast("array<string>")
@@ -54,7 +60,7 @@ def p7_shares(spark: SparkSession, d: str) -> DataFrame:
     return shares(_mixture(spark, d), table(spark, d, "mix_targets"), "doc_id")
 
 
-QUERIES = {"p5_found": p5_found, "p6_ids": p6_ids, "p7_mixture": p7_mixture, "p7_shares": p7_shares}
+QUERIES = {"p1_found": p1_found, "p5_found": p5_found, "p6_ids": p6_ids, "p7_mixture": p7_mixture, "p7_shares": p7_shares}
 
 _TRIM = "chr(32) || chr(9) || chr(10)"
 
