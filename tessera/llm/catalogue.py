@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tessera.functions.text import name_or_null
 from tessera.llm.bpe import TOKENIZERS_DIR, token_count, token_ids
 from tessera.llm.mixture import mixture, shares
+from tessera.llm.neighbours import nearest, neighbour_pairs
 from tessera.llm.setjoin import similar_sets
 from tessera.llm.sourcefiles import CUT, foreign_files
 from tessera.sources.tables import table
@@ -18,6 +19,18 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
     return scored.filter(F.col("known") | (F.col("score") >= CUT)).select("file_id")
 
 
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    return neighbour_pairs(nearest(table(spark, d, "vector_db"), "vec_id", "embeddings"))
+
+
+def p2_neighbours(spark: SparkSession, d: str) -> DataFrame:
+    """Neighbours with the class and the file of both sides."""
+    vectors = table(spark, d, "vector_db")
+    of = vectors.select("vec_id", F.col("metadata.id").alias("class_id"), F.col("metadata.file").alias("file"))
+    other = of.toDF("neighbour", "neighbour_class", "neighbour_file")
+    return nearest(vectors, "vec_id", "embeddings").join(of, "vec_id").join(other, "neighbour")
+
+
 def p5_sets(spark: SparkSession, d: str) -> DataFrame:
     """The sets of members per class and of bound classes per module."""
     nothing = F.array().cast("array<string>")
@@ -60,7 +73,7 @@ def p7_shares(spark: SparkSession, d: str) -> DataFrame:
     return shares(_mixture(spark, d), table(spark, d, "mix_targets"), "doc_id")
 
 
-QUERIES = {"p1_found": p1_found, "p5_found": p5_found, "p6_ids": p6_ids, "p7_mixture": p7_mixture, "p7_shares": p7_shares}
+QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p2_neighbours": p2_neighbours, "p5_found": p5_found, "p6_ids": p6_ids, "p7_mixture": p7_mixture, "p7_shares": p7_shares}
 
 _TRIM = "chr(32) || chr(9) || chr(10)"
 
