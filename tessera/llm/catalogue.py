@@ -11,6 +11,7 @@ from tessera.llm.mixture import mixture, shares
 from tessera.llm.neighbours import nearest, neighbour_pairs
 from tessera.llm.setjoin import similar_sets
 from tessera.llm.sourcefiles import CUT, foreign_files
+from tessera.llm.subjects import composition, subject_areas
 from tessera.sources.tables import table
 
 
@@ -31,6 +32,19 @@ def p2_neighbours(spark: SparkSession, d: str) -> DataFrame:
     return nearest(vectors, "vec_id", "embeddings").join(of, "vec_id").join(other, "neighbour")
 
 
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    return _subjects(spark, d).select("doc_id", "subject")
+
+
+def p8_composition(spark: SparkSession, d: str) -> DataFrame:
+    """How much of the corpus each subject area has."""
+    return composition(_subjects(spark, d), table(spark, d, "subject_areas"))
+
+
+def _subjects(spark: SparkSession, d: str) -> DataFrame:
+    return subject_areas(table(spark, d, "documents"), table(spark, d, "subject_labels"), table(spark, d, "subject_areas"))
+
+
 def p5_sets(spark: SparkSession, d: str) -> DataFrame:
     """The sets of members per class and of bound classes per module."""
     nothing = F.array().cast("array<string>")
@@ -73,7 +87,7 @@ def p7_shares(spark: SparkSession, d: str) -> DataFrame:
     return shares(_mixture(spark, d), table(spark, d, "mix_targets"), "doc_id")
 
 
-QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p2_neighbours": p2_neighbours, "p5_found": p5_found, "p6_ids": p6_ids, "p7_mixture": p7_mixture, "p7_shares": p7_shares}
+QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p2_neighbours": p2_neighbours, "p5_found": p5_found, "p6_ids": p6_ids, "p7_mixture": p7_mixture, "p7_shares": p7_shares, "p8_found": p8_found, "p8_composition": p8_composition}
 
 _TRIM = "chr(32) || chr(9) || chr(10)"
 
