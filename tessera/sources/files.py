@@ -1,0 +1,106 @@
+"""Source trees, stored graphs, vector stores and hash stores."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tessera import schema
+from tessera.sources.tables import _file_system
+
+
+def scan(spark: SparkSession, root: str, prefix: str = "", generated: bool = False) -> DataFrame:
+    """(repo, path, content, sha256) of the Dart files of all repos under ``root``.
+
+    A repo is a folder whose name begins with ``prefix``; only what lies under
+    its ``lib`` is read.  Files ending in ``.g.dart`` are left out unless
+    ``generated``.  Bytes that are no UTF-8 become replacement characters.
+    Files of length zero have no row: the reader skips them, and they declare
+    nothing.  ``path`` begins with the repo.
+    """
+    root = root.rstrip("/")
+    raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.dart").load(root)
+    relative = F.regexp_replace(F.col("path"), rf"^(?:file:)?/*{root.lstrip('/')}/", "")
+    rows = raw.select(relative.alias("path"), F.col("content").alias("bytes"))
+    rows = rows.withColumn("repo", F.split("path", "/")[0]).filter(F.col("repo").startswith(prefix) & (F.split("path", "/")[1] == "lib"))
+    if not generated:
+        rows = rows.filter(~F.col("path").endswith(".g.dart"))
+    return rows.select("repo", "path", F.expr("make_valid_utf8(cast(bytes AS string))").alias("content"), F.sha2("bytes", 256).alias("sha256"))
+
+
+def without_bad_bytes(content):
+    """Text with replacement characters dropped and line ends unified."""
+    return F.regexp_replace(F.regexp_replace(content, "�", ""), "\r\n?", "\n")
+
+
+def save_graph(graph: dict[str, DataFrame], path: str, parser: str = "regex") -> None:
+    """Nodes, edges and file mapping as Parquet, with one row about the parser."""
+    for name, df in graph.items():
+        df.write.mode("overwrite").parquet(f"{path}/{name}")
+    next(iter(graph.values())).sparkSession.createDataFrame([(parser,)], "parser string").write.mode("overwrite").parquet(f"{path}/about")
+
+
+def load_graph(spark: SparkSession, path: str) -> dict[str, DataFrame]:
+    return {name: spark.read.parquet(f"{path}/{name}") for name in ("nodes", "edges", "file_map")}
+
+
+def save_graph_json(graph: dict[str, DataFrame], path: str) -> None:
+    """One JSON line per row, a folder for each relation; non-ASCII text is kept."""
+    for name, df in graph.items():
+        df.write.mode("overwrite").json(f"{path}/{name}")
+
+
+def load_graph_json(spark: SparkSession, path: str) -> dict[str, DataFrame]:
+    """A graph of one JSON document: nodes, edges with from/to/type, and a mapping of names to paths or to objects with path and line."""
+    text = spark.read.text(path, wholetext=True)
+    node = schema.NODES.replace("node_type string", "type string")
+    edge = "`from` string, `to` string, type string, shared_usecases array<string>"
+    whole = text.select(F.from_json("value", f"nodes array<struct<{_fields(node)}>>, edges array<struct<{_fields(edge)}>>, file_mapping map<string,string>").alias("g"))
+    nodes = whole.select(F.inline("g.nodes")).withColumnRenamed("type", "node_type")
+    edges = whole.select(F.inline("g.edges")).toDF("src", "dst", "edge_type", "shared_usecases")
+    entry = whole.select(F.explode("g.file_mapping").alias("id", "v")).withColumn("o", F.from_json("v", "path string, line int"))
+    mapping = entry.select("id", F.coalesce("o.path", "v").alias("path"), F.coalesce("o.line", F.lit(1)).alias("line"))
+    return {"nodes": nodes, "edges": edges, "file_map": mapping}
+
+
+def _fields(ddl: str) -> str:
+    return ", ".join(f"{part.split(' ', 1)[0]}: {part.split(' ', 1)[1]}" for part in ddl.split(", "))
+
+
+def swap(df: DataFrame, path: str) -> None:
+    """Write a new snapshot beside the old one, then put it in its place.
+
+    The old snapshot stays readable until the new one is complete.
+    """
+    spark = df.sparkSession
+    df.write.mode("overwrite").parquet(f"{path}.new")
+    new, fs = _file_system(spark, f"{path}.new")
+    old, _ = _file_system(spark, path)
+    fs.delete(old, True)
+    if not fs.rename(new, old):
+        raise OSError(f"can't rename to {path}")
+
+
+def missing_files(spark: SparkSession, names: list[str], present: DataFrame) -> DataFrame:
+    """(path, present): which of the required files there are; ``present`` has path."""
+    need = spark.createDataFrame([(n,) for n in names], "path string")
+    return need.join(present.select("path").distinct().withColumn("here", F.lit(True)), "path", "left").select("path", F.coalesce("here", F.lit(False)).alias("present"))
+
+
+def copy_templates(spark: SparkSession, source: str, target: str) -> DataFrame:
+    """(path, status): copy text files below ``source`` to ``target``, skipping those that exist."""
+    src, fs = _file_system(spark, source)
+    dst, out = _file_system(spark, target)
+    jvm, rows = spark.sparkContext._jvm, []
+    files = fs.listFiles(src, True)
+    base = fs.getFileStatus(src).getPath().toUri().getPath()
+    while files.hasNext():
+        at = files.next().getPath()
+        name = at.toUri().getPath()[len(base) :].lstrip("/")
+        to = jvm.org.apache.hadoop.fs.Path(dst, name)
+        if out.exists(to):
+            rows.append((name, "skipped"))
+        else:
+            jvm.org.apache.hadoop.fs.FileUtil.copy(fs, at, out, to, False, spark.sparkContext._jsc.hadoopConfiguration())
+            rows.append((name, "created"))
+    return spark.createDataFrame(sorted(rows), "path string, status string")
