@@ -13,6 +13,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tessera.sources.ship import ship
+
 _SKIP = re.compile(
     r"//[^\n]*|/\*.*?(?:\*/|\Z)"
     r"|r?'''.*?(?:'''|\Z)|r?\"\"\".*?(?:\"\"\"|\Z)"
@@ -145,9 +147,11 @@ def _typed(texts: pa.Array) -> pa.Array:
 
 def top_level(content: Column) -> Column:
     """Array of structs (kind, name, base, line); empty for a null text."""
+    ship()
     return F.arrow_udf(_declared, _DECLARED)(content)
 
 
 def injected(content: Column) -> Column:
     """Array of structs (owner, type): constructor dependencies; empty for a null text."""
+    ship()
     return F.arrow_udf(_typed, _TYPED)(content)

@@ -12,6 +12,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tessera.sources.ship import ship
+
 Encoder = Callable[[list[str]], np.ndarray]
 _WORD = re.compile(r"[A-Z]?[^\W\d_A-Z]+|[A-Z]+|\d+")
 
@@ -38,6 +40,7 @@ def encoded(text: Column, encoder: Encoder, batch: int = 32) -> Column:
         parts = [np.asarray(encoder([t or "" for t in rows[i : i + batch]]), np.float32) for i in range(0, len(rows), batch)]
         return pa.array([v for p in parts for v in p], pa.list_(pa.float32()))
 
+    ship()
     return F.arrow_udf(run, T.ArrayType(T.FloatType()))(text)
 
 

@@ -14,6 +14,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from tessera.sources.ship import ship
+
 _OUT = "path string, change string, sha256 string, scanned_at timestamp"
 _STATE = "sha256 string, scanned_at timestamp"
 
@@ -42,5 +44,6 @@ def watch(versions: DataFrame) -> DataFrame:
     scanned_at (timestamp).  A version older than the latest known one, or
     without a time, changes nothing; equal content changes nothing.
     """
+    ship()
     rows = versions.filter("path IS NOT NULL").selectExpr("path", "sha256", "CAST(scanned_at AS timestamp) AS scanned_at")
     return rows.groupBy("path").applyInPandasWithState(_latest, _OUT, _STATE, "append", GroupStateTimeout.NoTimeout)
