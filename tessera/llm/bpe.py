@@ -28,6 +28,8 @@ import regex
 from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.sources.ship import ship
+
 #: Where the public vocabularies lie, unless the caller says otherwise.
 TOKENIZERS_DIR = "/opt/tokenizers"
 
@@ -156,6 +158,7 @@ def _loaded(raw: bytes) -> ByteBpe:
 
 def _vocabulary(spark: SparkSession, name: str, folder: str):
     """The file's bytes for all workers: bounded by the vocabulary, not by data."""
+    ship()
     with open(f"{folder}/{name}.json", "rb") as f:
         return spark.sparkContext.broadcast(f.read())
 

@@ -31,6 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tessera.sources.ship import ship
 from tessera.sources.tables import stage
 
 #: Most labelled rows of one class that the forest is fitted on.
@@ -121,6 +122,7 @@ def _measured(content: pa.Array, repo: pa.Array) -> pa.Array:
 
 def features(content: str, repo: str) -> Column:
     """``measure`` of each file; null for a null content."""
+    ship()
     return F.arrow_udf(_measured, T.ArrayType(T.FloatType()))(content, repo)
 
 

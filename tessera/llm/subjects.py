@@ -30,6 +30,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tessera.sources.ship import ship
 from tessera.sources.tables import drop, stage
 
 #: Words in more than this share of all sentences say nothing about subjects.
@@ -72,6 +73,7 @@ def graph(documents: DataFrame, key: str, text: str) -> tuple[DataFrame, DataFra
 
     ``run`` numbers the independent terms of a sentence.
     """
+    ship()
     split = F.arrow_udf(_split, T.ArrayType(T.StringType()))
     said = documents.select(F.col(key).alias("doc_id"), F.explode(split(F.col(text))).alias("sentence")).select("doc_id", F.md5("sentence").alias("sid"), "sentence")
     said = stage(said, "said")
