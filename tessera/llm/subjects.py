@@ -8,7 +8,9 @@ sentences.  A term passes on the distribution of the labels of its sentences.
 
 A link is verified before a label may cross it: one shared term proves
 nothing, since a subject's word may be merely mentioned.  A sentence takes a
-subject only with the second-strongest support among its independent terms.
+subject only with the joint support of its two strongest independent terms
+(their geometric mean, so that a word of several subjects counts beside a
+clear one).
 Neighbouring words that nearly always come together (names, compound words)
 are one term in this count.  A sentence most of whose words point to one
 subject is accepted as a whole: set phrases are one long compound.
@@ -37,10 +39,14 @@ from tessera.sources.tables import drop, stage
 COMMON = 0.1
 #: Neighbours of which the rarer comes with the other in more than this share of its sentences are one term.
 COMPOUND = 0.6
-#: Rounds, weight of the prior, least support of a strong term, support from which a subject is taken.
-ROUNDS, PRIOR, FLOOR, CUT = 4, 1.0, 0.12, 0.25
+#: Rounds, weight of the prior, least support of a strong term, support from which a round takes a subject.
+ROUNDS, PRIOR, FLOOR, CUT = 4, 1.0, 0.12, 0.32
+#: Support from which a subject belongs to the result.
+ACCEPT = 0.4
 #: Weight of an unlabelled sentence's own guess; share of a clamped label that stays.
 GUESS, CLAMP = 0.1, 0.8
+#: A sentence that so many labelled documents hold is a term of its own, for subjects with this share of their votes.
+REPEATED, MAJORITY = 2, 0.5
 #: A whole phrase: at least so many words of one subject, and this share of all its words.
 PHRASE, PHRASE_SHARE = 4, 0.5
 
@@ -49,8 +55,8 @@ _WORD = regex.compile(r"\p{L}+")
 
 
 def plain(text: str) -> str:
-    """Lower case without accents, however they are encoded."""
-    return "".join(c for c in unicodedata.normalize("NFD", text.lower()) if not unicodedata.combining(c)).replace("đ", "d")
+    """Lower case with composed accents, however they are encoded."""
+    return unicodedata.normalize("NFC", text.lower())
 
 
 def sentences_of(text: str) -> list[str]:
@@ -120,8 +126,11 @@ def support(links: DataFrame, marks: DataFrame, subjects: list[str]) -> DataFram
     )
     firm = F.size(F.filter("all", lambda a: a >= CUT))
     phrase = F.when((firm >= PHRASE) & (firm >= PHRASE_SHARE * F.col("n_words")), F.get("all", F.lit(PHRASE - 1)))
-    score = F.greatest(F.coalesce(F.get("tops", F.lit(1)), F.lit(0.0)), F.coalesce(phrase, F.lit(0.0)))
-    return both.select("sid", "subject", score.alias("score")).filter("score > 0")
+    pair = F.sqrt(F.get("tops", F.lit(0)) * F.get("tops", F.lit(1)))
+    linked = both.select("sid", "subject", F.greatest(F.coalesce(pair, F.lit(0.0)), F.coalesce(phrase, F.lit(0.0))).alias("score"))
+    alike = F.explode(F.array(*[F.struct(F.lit(s).alias("subject"), (F.col("p")[i + 1] * F.col("weight") / (F.col("weight") + PRIOR)).alias("score")) for i, s in enumerate(subjects)]))
+    repeated = marks.filter(F.col("weight") >= REPEATED).select("sid", alike.alias("x")).select("sid", "x.subject", "x.score").filter(F.col("score") >= MAJORITY)
+    return linked.unionByName(repeated).groupBy("sid", "subject").agg(F.max("score").alias("score")).filter("score > 0")
 
 
 def _votes(given: DataFrame, scores: DataFrame | None, subjects: list[str]) -> DataFrame:
@@ -189,7 +198,7 @@ def subject_areas(documents: DataFrame, labels: DataFrame, areas: DataFrame, key
         before, scores = scores, stage(support(links, marks, subjects), f"round{i}")
         drop(before)
     first = F.row_number().over(Window.partitionBy("sid").orderBy(F.col("score").desc(), "subject"))
-    taken = scores.filter(F.col("score") >= CUT).withColumn("nth", first).filter("nth = 1").select("sid", "subject", "score")
+    taken = scores.filter(F.col("score") >= ACCEPT).withColumn("nth", first).filter("nth = 1").select("sid", "subject", "score")
     return of_docs.join(taken, "sid").groupBy("doc_id", "subject").agg(F.max("score").alias("score"))
 
 
