@@ -50,6 +50,7 @@ REPEATED, MAJORITY = 2, 0.5
 #: A whole phrase: at least so many words of one subject, and this share of all its words.
 PHRASE, PHRASE_SHARE = 4, 0.5
 
+_SALTS = 8
 _SENTENCE = regex.compile(r"[^.!?…。！？]+")
 _WORD = regex.compile(r"\p{L}+")
 
@@ -74,19 +75,21 @@ def _split(texts: pa.Array) -> pa.Array:
 
 
 
-def graph(documents: DataFrame, key: str, text: str) -> tuple[DataFrame, DataFrame, int]:
-    """(doc_id, sid) and (sid, word, run, n_words), both staged, and the number of sentences.
+def graph(documents: DataFrame, key: str, text: str) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, sid) and (sid, word, run, n_words), both staged.
 
-    ``run`` numbers the independent terms of a sentence.
+    ``run`` numbers the independent terms of a sentence.  Sentences and words
+    are known by 64-bit hashes: what is joined again and again is four numbers
+    a row.
     """
     ship()
     split = F.arrow_udf(_split, T.ArrayType(T.StringType()))
-    said = documents.select(F.col(key).alias("doc_id"), F.explode(split(F.col(text))).alias("sentence")).select("doc_id", F.md5("sentence").alias("sid"), "sentence")
+    said = documents.select(F.col(key).alias("doc_id"), F.explode(split(F.col(text))).alias("sentence")).select("doc_id", F.xxhash64("sentence").alias("sid"), "sentence")
     said = stage(said, "said")
     of_docs = said.select("doc_id", "sid").distinct()
     unlike = said.select("sid", "sentence").distinct()
     n = unlike.count()
-    words = unlike.select("sid", F.split("sentence", " ").alias("words"))
+    words = unlike.select("sid", F.transform(F.split("sentence", " "), lambda w: F.xxhash64(w)).alias("words"))
     often = stage(words.select(F.explode("words").alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n")), "often")
     # at most (words a sentence) / COMMON of them, whatever the corpus
     common = [r.word for r in often.filter(F.col("n") > COMMON * n).select("word").collect()]
@@ -105,7 +108,9 @@ def graph(documents: DataFrame, key: str, text: str) -> tuple[DataFrame, DataFra
     run = F.sum(F.coalesce("new", F.lit(1))).over(Window.partitionBy("sid").orderBy("pos"))
     links = at.join(glued, ["left", "word"], "left").select("sid", "word", run.alias("run"), "n_words")
     links = links.join(often.filter("n > 1").select("word"), "word", "left_semi")
-    return stage(of_docs, "of"), stage(links, "links"), n
+    of_docs, links = stage(of_docs, "of"), stage(links, "links")
+    drop(said, often, at)
+    return of_docs, links
 
 
 def support(links: DataFrame, marks: DataFrame, subjects: list[str]) -> DataFrame:
@@ -176,7 +181,7 @@ def subject_areas(documents: DataFrame, labels: DataFrame, areas: DataFrame, key
     spark = documents.sparkSession
     if not subjects:
         return spark.createDataFrame([], T.StructType([T.StructField("doc_id", documents.schema[key].dataType), T.StructField("subject", T.StringType()), T.StructField("score", T.DoubleType())]))
-    of_docs, links, _ = graph(documents, key, text)
+    of_docs, links = graph(documents, key, text)
     read = labels.select(F.col(key).alias("doc_id"), F.when(F.col("subject").isin(subjects), F.col("subject")).alias("subject")).groupBy("doc_id").agg(F.sort_array(F.collect_set("subject")).alias("labels"))
     mine = of_docs.join(read, "doc_id")
     sizes = mine.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_sentences"))
@@ -199,7 +204,10 @@ def subject_areas(documents: DataFrame, labels: DataFrame, areas: DataFrame, key
         drop(before)
     first = F.row_number().over(Window.partitionBy("sid").orderBy(F.col("score").desc(), "subject"))
     taken = scores.filter(F.col("score") >= ACCEPT).withColumn("nth", first).filter("nth = 1").select("sid", "subject", "score")
-    return of_docs.join(taken, "sid").groupBy("doc_id", "subject").agg(F.max("score").alias("score"))
+    # a third of the documents may hold one sentence: its documents are spread over the salts
+    salts = F.explode(F.array(*[F.lit(i) for i in range(_SALTS)]))
+    spread = of_docs.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(_SALTS)).cast("int"))
+    return spread.join(taken.withColumn("salt", salts), ["sid", "salt"]).groupBy("doc_id", "subject").agg(F.max("score").alias("score"))
 
 
 def composition(found: DataFrame, areas: DataFrame) -> DataFrame:
