@@ -76,11 +76,11 @@ def _split(texts: pa.Array) -> pa.Array:
 
 
 def graph(documents: DataFrame, key: str, text: str) -> tuple[DataFrame, DataFrame]:
-    """(doc_id, sid) and (sid, word, run, n_words), both staged.
+    """(doc_id, sid) and (sid, words, n_words), both staged.
 
-    ``run`` numbers the independent terms of a sentence.  Sentences and words
-    are known by 64-bit hashes: what is joined again and again is four numbers
-    a row.
+    ``words`` are structs (word, run); ``run`` numbers the independent terms
+    of a sentence.  Sentences and words are known by 64-bit hashes, and a
+    sentence is one row, which is joined as a whole and taken apart after.
     """
     ship()
     split = F.arrow_udf(_split, T.ArrayType(T.StringType()))
@@ -106,8 +106,8 @@ def graph(documents: DataFrame, key: str, text: str) -> tuple[DataFrame, DataFra
         .select("left", "word", F.lit(0).alias("new"))
     )
     run = F.sum(F.coalesce("new", F.lit(1))).over(Window.partitionBy("sid").orderBy("pos"))
-    links = at.join(glued, ["left", "word"], "left").select("sid", "word", run.alias("run"), "n_words")
-    links = links.join(often.filter("n > 1").select("word"), "word", "left_semi")
+    links = at.join(glued, ["left", "word"], "left").join(often.filter("n > 1").select("word"), "word", "left_semi").select("sid", "word", run.alias("run"), "n_words")
+    links = links.groupBy("sid").agg(F.collect_list(F.struct("word", F.col("run").cast("int").alias("run"))).alias("words"), F.first("n_words").alias("n_words"))
     of_docs, links = stage(of_docs, "of"), stage(links, "links")
     drop(said, often, at)
     return of_docs, links
@@ -122,10 +122,12 @@ def support(links: DataFrame, marks: DataFrame, subjects: list[str]) -> DataFram
     k = len(subjects)
     prior = 0.15 / k
     sums = [F.sum(F.col("p")[i + 1] * F.col("weight")).alias(f"s{i}") for i in range(k)]
-    terms = links.select("sid", "word").join(marks, "sid").groupBy("word").agg(F.sum("weight").alias("w"), *sums)
+    heard = links.select("sid", "words.word").join(marks, "sid").select(F.explode("word").alias("word"), "p", "weight")
+    terms = heard.groupBy("word").agg(F.sum("weight").alias("w"), *sums)
     share = F.array(*[F.struct(F.lit(s).alias("subject"), ((F.col(f"s{i}") + PRIOR * prior) / (F.col("w") + PRIOR)).alias("a")) for i, s in enumerate(subjects)])
     strong = terms.select("word", F.explode(share).alias("x")).select("word", "x.subject", "x.a").filter(F.col("a") >= FLOOR)
-    runs = links.join(strong, "word").groupBy("sid", "subject", "run").agg(F.max("a").alias("top"), F.collect_list("a").alias("all"), F.first("n_words").alias("n_words"))
+    said = links.select("sid", "n_words", F.inline("words"))
+    runs = said.join(strong, "word").groupBy("sid", "subject", "run").agg(F.max("a").alias("top"), F.collect_list("a").alias("all"), F.first("n_words").alias("n_words"))
     both = runs.groupBy("sid", "subject").agg(
         F.sort_array(F.collect_list("top"), asc=False).alias("tops"), F.sort_array(F.flatten(F.collect_list("all")), asc=False).alias("all"), F.first("n_words").alias("n_words")
     )
