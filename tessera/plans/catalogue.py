@@ -572,3 +572,46 @@ def q_incremental_merge(spark, d):
     diff = incremental.changes(old, new)
     fresh = new.join(diff.select("path"), "path", "left_semi")
     return incremental.merged(old, fresh, diff.filter("change = 'deleted'").select("path"), "path")
+
+
+# --------------------------------------------------- selector and prompt parts
+
+
+@query("SELECT DISTINCT id FROM mapping WHERE contains(lower(id), 'home') OR contains(lower(id), 'garden') OR contains(lower(id), 'engine') ORDER BY id LIMIT 3")
+def q_entry_nodes(spark, d):
+    return graph.entry_nodes(mapping(spark, d), "Where is HOME and the flash port", (("home", ("home",)), ("flash", ("garden", "engine")), ("cart", ("cart",))))
+
+
+@query(
+    _CONTEXT.replace("g.id IN (SELECT id FROM mapping)", "g.id IN (SELECT id FROM mapping) AND g.vec_id <> 0").replace("'routes_to', 'depends_on'", "'routes_to', 'depends_on', 'binds'")
+    + """ SELECT id, depth FROM flow
+    UNION ALL SELECT DISTINCT e.src, -1 FROM edges e JOIN nodes n ON n.id = e.src AND n.node_type IN ('UI', 'Controller') JOIN mapping m ON m.id = e.src
+    WHERE e.edge_type = 'depends_on' AND e.dst IN (SELECT id FROM flow) AND e.src NOT IN (SELECT id FROM flow)"""
+)
+def q_selector_flow(spark, d):
+    good = _usable(spark, d)
+    first = good.orderBy("vec_id").first()
+    banned = [r.id for r in good.filter("vec_id = 0").select("id").collect()]
+    return context.hybrid(good, list(first.vec) if first else [0.0] * 384, "similar classes", nodes(spark, d), edges(spark, d), mapping(spark, d), wide=True, without=banned)["flow"]
+
+
+@query(
+    """WITH ranked AS (SELECT path, row_number() OVER (ORDER BY level, pos, path) AS rank FROM (
+      SELECT path, min(CASE WHEN contains(path, '_page.dart') OR contains(path, '_screen.dart') OR contains(path, '_view.dart') THEN 0 WHEN contains(path, '_bloc.dart') OR contains(path, '_cubit.dart') THEN 1 ELSE 2 END) AS level, min(file_id) AS pos
+      FROM src_files WHERE path IS NOT NULL AND NOT contains(path, '_state.dart') GROUP BY path)),
+    last AS (SELECT path, content FROM (SELECT path, content, row_number() OVER (PARTITION BY path ORDER BY file_id DESC) AS rn FROM src_files WHERE content IS NOT NULL) WHERE rn = 1)
+    SELECT r.path, r.rank, chr(10) || 'FILE: ' || r.path || chr(10) || coalesce(l.content[1:2500], '(Cannot read file)') AS text FROM ranked r LEFT JOIN last l USING (path) WHERE r.rank <= 6""",
+    views=False,
+)
+def q_loaded_files(spark, d):
+    f = files(spark, d)
+    ranked = graph.priority(f.select("path", F.col("file_id").alias("pos")).filter(~F.col("path").contains("_state.dart")))
+    content = extract.first_per(f.filter("content IS NOT NULL").select("path", "content", "file_id"), ["path"], F.col("file_id").desc()).select("path", "content")
+    return context.loaded(ranked.withColumn("rank", F.col("rank").cast("bigint")), content, ["_state.dart"])
+
+
+@query("""SELECT n.id, CASE WHEN coalesce(n.summary, '') = '' THEN l.content[1:300] END AS snippet FROM nodes n LEFT JOIN mapping m USING (id)
+  LEFT JOIN (SELECT path, content FROM (SELECT path, content, row_number() OVER (PARTITION BY path ORDER BY file_id DESC) AS rn FROM src_files WHERE content IS NOT NULL) WHERE rn = 1) l ON l.path = m.path""")
+def q_preview(spark, d):
+    content = extract.first_per(files(spark, d).filter("content IS NOT NULL").select("path", "content", "file_id"), ["path"], F.col("file_id").desc()).select("path", "content")
+    return context.described(nodes(spark, d).select("id"), nodes(spark, d), mapping(spark, d), content).select("id", "snippet")
