@@ -65,16 +65,24 @@ def similar_sets(sets: DataFrame, threshold: float = 0.6, least_items: int = 4)
     same = ["set_name", "band", "bucket"]
     sized = buckets.groupBy(*same).agg(F.count(F.lit(1)).alias("members")).filter("members > 1")
 
-    def pairs(rows: DataFrame, on: list[str]) -> DataFrame:
-        a = rows.select(*on, F.col("cls").alias("cls_a"), F.col("n").alias("n_a"))
-        b = rows.select(*on, F.col("cls").alias("cls_b"), F.col("n").alias("n_b"))
+    def pairs(rows: DataFrame, on: list[str], after: bool = False) -> DataFrame:
+        """Pairs that share ``on`` and whose sizes allow the threshold.
+
+        With ``after``, rows know how many items follow the shared one: where
+        it is the first common item, no more than these can be common too.
+        """
+        more = [F.col("after")] if after else []
+        a = rows.select(*on, F.col("cls").alias("cls_a"), F.col("n").alias("n_a"), *[x.alias("after_a") for x in more])
+        b = rows.select(*on, F.col("cls").alias("cls_b"), F.col("n").alias("n_b"), *[x.alias("after_b") for x in more])
         near = (F.col("n_a") >= F.col("n_b") * threshold - 1e-9) & (F.col("n_b") >= F.col("n_a") * threshold - 1e-9)
+        if after:
+            near = near & (1 + F.least("after_a", "after_b") >= (F.col("n_a") + F.col("n_b")) * (threshold / (1 + threshold)) - 1e-9)
         return a.join(b, on).filter((F.col("cls_a") < F.col("cls_b")) & near).select("cls_a", "cls_b").distinct()
 
     usual = pairs(buckets.join(sized.filter(F.col("members") <= BUCKET), same, "left_semi"), same)
     crowded = sized.filter(F.col("members") > BUCKET)
     members = buckets.join(crowded, same, "left_semi").select("cls", "set_name").distinct()
-    exact = pairs(_prefixes(classes, members, threshold), ["set_name", "item"])
+    exact = pairs(_prefixes(classes, members, threshold), ["set_name", "item"], after=True)
     candidates = usual.union(exact).distinct()
 
     left = classes.select(F.col("cls").alias("cls_a"), F.col("items").alias("items_a"), F.col("n").alias("n_a"))
@@ -104,8 +112,8 @@ def similar_sets(sets: DataFrame, threshold: float = 0.6, least_items: int = 4)
 
 
 def _prefixes(classes: DataFrame, members: DataFrame, threshold: float) -> DataFrame:
-    """(cls, n, set_name, item): the rarest items that a partner must share one of."""
+    """(cls, n, set_name, item, after): the rarest items that a partner must share one of, and how many items follow."""
     of = classes.join(members.select("cls"), "cls", "left_semi").select("cls", "set_name", "n", F.explode("items").alias("item"))
     often = of.groupBy("set_name", "item").agg(F.count(F.lit(1)).alias("often"))
     ranked = of.join(often, ["set_name", "item"]).withColumn("nth", F.row_number().over(Window.partitionBy("cls").orderBy("often", "item")))
-    return ranked.filter(F.col("nth") <= F.col("n") - F.ceil(F.col("n") * F.lit(threshold) - 1e-9) + 1).select("cls", "n", "set_name", "item")
+    return ranked.filter(F.col("nth") <= F.col("n") - F.ceil(F.col("n") * F.lit(threshold) - 1e-9) + 1).select("cls", "n", "set_name", "item", (F.col("n") - F.col("nth")).alias("after"))
