@@ -33,13 +33,11 @@ def _weights(e: DataFrame) -> DataFrame:
 def _modularity(w: DataFrame, member: DataFrame) -> float:
     a, b = member.select(F.col("id").alias("a"), F.col("community").alias("ca")), member.select(F.col("id").alias("b"), F.col("community").alias("cb"))
     ends = w.join(a, "a").join(b, "b")
-    inside = F.sum(F.when(F.col("ca") == F.col("cb"), F.col("w")).otherwise(0.0))
-    whole, within = ends.agg(F.sum("w"), inside).first()
-    if not whole:
-        return 0.0
-    each = ends.select(F.col("ca").alias("c"), "w").unionAll(ends.select(F.col("cb").alias("c"), "w")).groupBy("c").agg(F.sum("w").alias("d"))
-    squares = each.agg(F.sum(F.col("d") * F.col("d"))).first()[0]
-    return within / whole - squares / (4 * whole * whole)
+    inside = F.when(F.col("ca") == F.col("cb"), F.col("w")).otherwise(0.0)
+    both = F.explode(F.array(F.struct(F.col("ca").alias("c"), "w", inside.alias("i")), F.struct(F.col("cb").alias("c"), "w", F.lit(0.0).alias("i"))))
+    each = ends.select(both.alias("x")).groupBy("x.c").agg(F.sum("x.w").alias("d"), F.sum("x.i").alias("i"))
+    twice, within, squares = each.agg(F.sum("d"), F.sum("i"), F.sum(F.col("d") * F.col("d"))).first()
+    return 2 * within / twice - squares / (twice * twice) if twice else 0.0
 
 
 def communities(edges: DataFrame, ids: DataFrame) -> DataFrame:
