@@ -6,9 +6,9 @@ a tree of depth d is finished after log2(d) + 1 rounds, whatever its shape.
 Nodes whose pointer has reached a root drop out of the joins.  A round that
 finishes no node proves that the rest lies on loops or below them.
 
-One ancestor may be the pointer of a third of all nodes: the pointer table
-has one row per node, so it is copied under a few salts and the many rows of
-a hot ancestor spread over them.
+One ancestor may be the pointer of a third of all nodes: the few hot ones are
+counted in each round, their pointer rows copied under salts, and the many
+rows that point at them spread over these.
 """
 
 from __future__ import annotations
@@ -20,8 +20,8 @@ from pyspark.sql import functions as F
 
 from tessera.sources.tables import drop, stage
 
-#: Into how many parts the rows of one ancestor are spread.
-SALTS = 8
+#: An ancestor of more than one in so many rows is hot; into how many parts its rows are spread.
+SHARE, SALTS = 64, 16
 
 
 def chosen_parents(links: DataFrame) -> DataFrame:
@@ -37,10 +37,17 @@ def chosen_parents(links: DataFrame) -> DataFrame:
     )
 
 
-def _follow(left: DataFrame, right: DataFrame, *columns):
-    """Join each row of ``left`` with the pointer row of its ancestor."""
-    copies = right.withColumn("salt", F.explode(F.array(*[F.lit(i) for i in range(SALTS)]))).alias("r")
-    spread = left.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int")).alias("l")
+def _follow(left: DataFrame, right: DataFrame, n: int, *columns):
+    """Join each of the ``n`` rows of ``left`` with the pointer row of its ancestor.
+
+    Ancestors of more than one in ``SHARE`` rows, at most ``SHARE`` of them,
+    are hot: their row is copied under each salt.
+    """
+    often = left.groupBy("anc").agg(F.count(F.lit(1)).alias("rows")).filter(F.col("rows") * SHARE > n)
+    hot = [r.anc for r in often.select("anc").collect()]
+    one, salts = F.array(F.lit(0)), F.array(*[F.lit(i) for i in range(SALTS)])
+    copies = right.withColumn("salt", F.explode(F.when(F.col("id").isin(hot), salts).otherwise(one))).alias("r")
+    spread = left.withColumn("salt", F.when(F.col("anc").isin(hot), F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int")).otherwise(0)).alias("l")
     return spread.join(copies, (F.col("l.anc") == F.col("r.id")) & (F.col("l.salt") == F.col("r.salt"))).select(*columns)
 
 
@@ -74,6 +81,7 @@ def hierarchies(links: DataFrame) -> DataFrame:
             _follow(
                 open_,
                 ended.unionByName(open_),
+                n_open,
                 F.col("l.id").alias("id"),
                 F.col("r.anc").alias("anc"),
                 (F.col("l.dist") + F.col("r.dist")).alias("dist"),
@@ -103,9 +111,9 @@ def _loops(rest: DataFrame, n: int) -> DataFrame:
     """
     at = rest.select("id", F.col("parent").alias("anc"), F.col("id").alias("low"))
     for _ in range(max(1, math.ceil(math.log2(n)))):
-        at = stage(_follow(at, at, F.col("l.id").alias("id"), F.col("r.anc").alias("anc"), F.least("l.low", "r.low").alias("low")), "loop")
+        at = stage(_follow(at, at, n, F.col("l.id").alias("id"), F.col("r.anc").alias("anc"), F.least("l.low", "r.low").alias("low")), "loop")
     on = at.select(F.col("anc").alias("id")).distinct().withColumn("on_loop", F.lit(True))
-    ends = _follow(at, at, F.col("l.id").alias("id"), F.col("r.low").alias("root_id"))
+    ends = _follow(at, at, n, F.col("l.id").alias("id"), F.col("r.low").alias("root_id"))
     return ends.join(on, "id", "left").select(
         "id",
         "root_id",
