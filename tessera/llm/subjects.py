@@ -28,6 +28,7 @@ import unicodedata
 
 import pyarrow as pa
 import regex
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -105,11 +106,12 @@ def graph(documents: DataFrame, key: str, text: str) -> tuple[DataFrame, DataFra
         .filter((F.col("both") > 1) & (F.col("both") > COMPOUND * rarer))
         .select("left", "word", F.lit(0).alias("new"))
     )
+    glued = stage(glued, "glued")  # written, so that the planner knows how small it is
     run = F.sum(F.coalesce("new", F.lit(1))).over(Window.partitionBy("sid").orderBy("pos"))
     links = at.join(glued, ["left", "word"], "left").join(often.filter("n > 1").select("word"), "word", "left_semi").select("sid", "word", run.alias("run"), "n_words")
     links = links.groupBy("sid").agg(F.collect_list(F.struct("word", F.col("run").cast("int").alias("run"))).alias("words"), F.first("n_words").alias("n_words"))
     of_docs, links = stage(of_docs, "of"), stage(links, "links")
-    drop(said, often, at)
+    drop(said, often, at, glued)
     return of_docs, links
 
 
@@ -125,7 +127,7 @@ def support(links: DataFrame, marks: DataFrame, subjects: list[str]) -> DataFram
     heard = links.select("sid", "words.word").join(marks, "sid").select(F.explode("word").alias("word"), "p", "weight")
     terms = heard.groupBy("word").agg(F.sum("weight").alias("w"), *sums)
     share = F.array(*[F.struct(F.lit(s).alias("subject"), ((F.col(f"s{i}") + PRIOR * prior) / (F.col("w") + PRIOR)).alias("a")) for i, s in enumerate(subjects)])
-    strong = terms.select("word", F.explode(share).alias("x")).select("word", "x.subject", "x.a").filter(F.col("a") >= FLOOR)
+    strong = stage(terms.select("word", F.explode(share).alias("x")).select("word", "x.subject", "x.a").filter(F.col("a") >= FLOOR), "strong")
     said = links.select("sid", "n_words", F.inline("words"))
     runs = said.join(strong, "word").groupBy("sid", "subject", "run").agg(F.max("a").alias("top"), F.collect_list("a").alias("all"), F.first("n_words").alias("n_words"))
     both = runs.groupBy("sid", "subject").agg(
@@ -188,6 +190,8 @@ def subject_areas(documents: DataFrame, labels: DataFrame, areas: DataFrame, key
     mine = of_docs.join(read, "doc_id")
     sizes = mine.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_sentences"))
     given = stage(mine.join(sizes, "doc_id"), "given")
+    # every round joins and groups by sentence: partitioned by it once, lost parts are read from the staged table again
+    links = links.repartition("sid").persist(StorageLevel.DISK_ONLY)
     everyone = of_docs.select("sid").distinct()
 
     scores = None
@@ -204,6 +208,7 @@ def subject_areas(documents: DataFrame, labels: DataFrame, areas: DataFrame, key
             marks = both.select("sid", F.when(F.col("v").isNull(), F.col("own")).otherwise(kept).alias("p"), F.coalesce("votes", F.lit(GUESS)).alias("weight"))
         before, scores = scores, stage(support(links, marks, subjects), f"round{i}")
         drop(before)
+    links.unpersist()
     first = F.row_number().over(Window.partitionBy("sid").orderBy(F.col("score").desc(), "subject"))
     taken = scores.filter(F.col("score") >= ACCEPT).withColumn("nth", first).filter("nth = 1").select("sid", "subject", "score")
     # a third of the documents may hold one sentence: its documents are spread over the salts
