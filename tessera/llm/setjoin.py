@@ -30,11 +30,11 @@ def _least(k: int) -> Column:
 
 
 def _signature(items: str) -> list[Column]:
-    """One column per band: the hash of its minimum hashes."""
+    """One column per band: the hash of the set's kind, the band and its minimum hashes."""
     base = F.transform(items, lambda x: F.xxhash64(x))
     bands = []
     for b in range(BANDS):
-        bands.append(F.xxhash64(F.lit(b), *[_least(b * ROWS + r) for r in range(ROWS)]))
+        bands.append(F.xxhash64("set_name", F.lit(b), *[_least(b * ROWS + r) for r in range(ROWS)]))
     return [base, *bands]
 
 
@@ -56,13 +56,13 @@ def similar_sets(sets: DataFrame, threshold: float = 0.6, least_items: int = 4)
         .filter(F.col("id").isNotNull() & (F.size("items") >= least_items))
         .distinct()
     )
-    keyed = stage(clean.withColumn("cls", F.sha2(F.concat_ws("\x1f", "set_name", F.to_json("items")), 256)), "sets")
+    keyed = stage(clean.withColumn("cls", F.unhex(F.md5(F.concat_ws("\x1f", "set_name", F.to_json("items"))))), "sets")
     classes = stage(keyed.dropDuplicates(["cls"]).select("cls", "set_name", "items", F.size("items").alias("n")), "classes")
 
     base, *bands = _signature("items")
     hashed = classes.select("cls", "set_name", "n", base.alias("_h")).select("cls", "set_name", "n", F.array(*bands).alias("bands"))
-    buckets = stage(hashed.select("cls", "set_name", "n", F.posexplode("bands").alias("band", "bucket")), "buckets")
-    same = ["set_name", "band", "bucket"]
+    buckets = stage(hashed.select("cls", "n", F.explode("bands").alias("bucket")), "buckets")
+    same = ["bucket"]
     sized = buckets.groupBy(*same).agg(F.count(F.lit(1)).alias("members")).filter("members > 1")
 
     def pairs(rows: DataFrame, on: list[str], after: bool = False) -> DataFrame:
@@ -81,19 +81,19 @@ def similar_sets(sets: DataFrame, threshold: float = 0.6, least_items: int = 4)
 
     usual = pairs(buckets.join(sized.filter(F.col("members") <= BUCKET), same, "left_semi"), same)
     crowded = sized.filter(F.col("members") > BUCKET)
-    members = buckets.join(crowded, same, "left_semi").select("cls", "set_name").distinct()
+    members = buckets.join(crowded, same, "left_semi").select("cls").distinct()
     exact = pairs(_prefixes(classes, members, threshold), ["set_name", "item"], after=True)
     candidates = usual.union(exact).distinct()
 
-    left = classes.select(F.col("cls").alias("cls_a"), F.col("items").alias("items_a"), F.col("n").alias("n_a"))
-    right = classes.select(F.col("cls").alias("cls_b"), F.col("items").alias("items_b"), F.col("n").alias("n_b"))
+    left = classes.select(F.col("cls").alias("cls_a"), F.col("set_name").alias("name_a"), F.col("items").alias("items_a"), F.col("n").alias("n_a"))
+    right = classes.select(F.col("cls").alias("cls_b"), F.col("set_name").alias("name_b"), F.col("items").alias("items_b"), F.col("n").alias("n_b"))
     shared = F.size(F.array_intersect("items_a", "items_b")).cast("bigint")
     verified = (
         candidates.join(left, "cls_a")
         .join(right, "cls_b")
         .withColumn("shared", shared)
         .withColumn("similarity", F.col("shared") / (F.col("n_a") + F.col("n_b") - F.col("shared")))
-        .filter(F.col("similarity") >= threshold)
+        .filter((F.col("similarity") >= threshold) & (F.col("name_a") == F.col("name_b")))
         .select("cls_a", "cls_b", "shared", "similarity")
     )
     ids = keyed.select("cls", "set_name", "id")
