@@ -3,16 +3,19 @@
 Each record gets a hash-seeded uniform number; inverting a Poisson
 distribution there, cut at the source's cap, gives its number of copies.  The
 mean of each source is set so that its tokens meet its target.  For that the
-uniform numbers are cut into ``LEVELS`` equal steps and the tokens summed per
-source and step: a table bounded by the number of listed sources, from which
-the tokens that any mean would draw are known without touching the records
-again.
+uniform numbers are cut into steps and the tokens summed per source and step,
+from which the tokens that any mean would draw are known without touching the
+records again.  A step is a fixed share of what lies above it (a number keeps
+the leading bits of its distance from 1), so that a low rate is met as closely
+as a high one; each halving of that distance adds ``LEVELS`` / 2 steps.
 """
 
 from __future__ import annotations
 
 import math
+from bisect import bisect_left
 from collections import defaultdict
+from itertools import accumulate
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -20,8 +23,10 @@ from pyspark.sql import functions as F
 from tessera.functions.text import trimmed
 from tessera.sources.tables import stage
 
-#: Steps into which the uniform numbers are cut.
+#: Uniform numbers run from 0 to LEVELS; as many values have the leading bits that are kept of the distance from LEVELS.
 LEVELS = 4096
+#: Bits of a hash that make a uniform number: as many as a double holds.
+_BITS = 53
 #: Share of the largest feasible total that is drawn; below 1, so that no mean is infinite.
 UTILISATION = 0.95
 
@@ -32,45 +37,56 @@ def source_key(c: Column | str) -> Column:
 
 
 def _level(seed: int, key: str) -> Column:
-    return F.pmod(F.xxhash64(F.lit(seed), F.col(key)), F.lit(LEVELS)).cast("int")
+    """A record's uniform number, rounded down to a step."""
+    t = F.pmod(F.xxhash64(F.lit(seed), F.col(key)), F.lit(1 << _BITS))
+    low = F.greatest(F.length(F.bin(t)) - (LEVELS.bit_length() - 1), F.lit(0))
+    above = F.call_function("shiftleft", F.call_function("shiftright", t, low) + 1, low)
+    return F.lit(float(LEVELS)) - above * F.lit(LEVELS / (1 << _BITS))  # exact in doubles
 
 
-def cuts(mean: float, cap: int) -> list[int]:
+def cuts(mean: float, cap: int) -> list[float]:
     """Levels from which a record has at least 1, 2, ... cap copies."""
-    out, term, total = [], math.exp(-mean), 0.0
+    out, term, above = [], math.exp(-mean), -math.expm1(-mean)
     for k in range(cap):
-        total += term
+        share, power = math.frexp(max(above, 0.0))
+        out.append(LEVELS * (1 - math.ldexp(round(share * LEVELS) / LEVELS, power)))
         term *= mean / (k + 1)
-        out.append(min(LEVELS, round(total * LEVELS)))
+        above -= term
     return out
 
 
-def _drawn(tail: list[int], mean: float, cap: int) -> int:
-    return sum(tail[c] for c in cuts(mean, cap))
+class _Tokens:
+    """The tokens of a source by level: how many a mean draws."""
 
+    def __init__(self, by_level: dict[float, int]):
+        self.levels = sorted(by_level)
+        self.below = [0, *accumulate(by_level[x] for x in self.levels)]
 
-def plan(tokens: dict[str, list[int]], targets: dict[str, tuple[float, int]], utilisation: float = UTILISATION) -> dict[str, list[int]]:
-    """Cuts per source from its tokens per level.
+    def drawn(self, mean: float, cap: int) -> int:
+        return sum(self.below[-1] - self.below[bisect_left(self.levels, c)] for c in cuts(mean, cap))
+
+
+def plan(tokens: dict[str, dict[float, int] | list[int]], targets: dict[str, tuple[float, int]], utilisation: float = UTILISATION) -> dict[str, list[float]]:
+    """Cuts per source from its tokens per level (a list: those of the levels 0, 1, ...).
 
     Sources without tokens can't contribute: the others share the total in
     proportion to their targets.  The total is ``utilisation`` of the largest
     for which no source needs more than its cap.
     """
-    live = {s: (p, m) for s, (p, m) in targets.items() if p > 0 and m > 0 and sum(tokens.get(s, ())) > 0}
+    tokens = {s: dict(enumerate(t)) if isinstance(t, list) else t for s, t in tokens.items()}
+    live = {s: (p, m) for s, (p, m) in targets.items() if p > 0 and m > 0 and sum(tokens.get(s, {}).values()) > 0}
     if not live:
         return {}
     whole = sum(p for p, _ in live.values())
-    total = utilisation * min(m * sum(tokens[s]) / (p / whole) for s, (p, m) in live.items())
+    total = utilisation * min(m * sum(tokens[s].values()) / (p / whole) for s, (p, m) in live.items())
     out = {}
     for s, (p, m) in live.items():
-        tail = [0] * (LEVELS + 1)
-        for i in range(LEVELS - 1, -1, -1):
-            tail[i] = tail[i + 1] + tokens[s][i]
+        have = _Tokens(tokens[s])
         want, low, high = p / whole * total, 0.0, 30.0 * m
         for _ in range(60):
             mid = (low + high) / 2
-            low, high = (mid, high) if _drawn(tail, mid, m) < want else (low, mid)
-        best = min((low, high), key=lambda x: abs(_drawn(tail, x, m) - want))
+            low, high = (mid, high) if have.drawn(mid, m) < want else (low, mid)
+        best = min((low, high), key=lambda x: abs(have.drawn(x, m) - want))
         out[s] = cuts(best, m)
     return out
 
@@ -97,8 +113,8 @@ def mixture(records: DataFrame, targets: DataFrame, key: str, source: Column, si
         .withColumn("level", _level(seed, "key")),
         "sized",
     )
-    tokens: dict[str, list[int]] = defaultdict(lambda: [0] * LEVELS)
-    for r in sized.groupBy("source", "level").agg(F.sum("n_tokens").alias("n")).collect():  # at most LEVELS rows a listed source
+    tokens: dict[str, dict[float, int]] = defaultdict(dict)
+    for r in sized.groupBy("source", "level").agg(F.sum("n_tokens").alias("n")).collect():  # LEVELS / 2 rows a halving of 1 / records, for each listed source
         tokens[r.source][r.level] = r.n
     chosen = plan(tokens, {r[0]: (r[1], r[2]) for r in named.collect()}, utilisation)
     copies = F.lit(0)

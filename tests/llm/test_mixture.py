@@ -1,3 +1,5 @@
+import math
+
 from pyspark.sql import functions as F
 
 from tessera.llm.mixture import LEVELS, cuts, mixture, shares
@@ -46,3 +48,18 @@ def test_nulls_zero_sizes_and_empty(spark):
 def test_cuts_are_a_poisson_distribution():
     c = cuts(1.0, 4)
     assert c == sorted(c) and abs(c[0] / LEVELS - 0.3679) < 1e-3 and abs(c[1] / LEVELS - 0.7358) < 1e-3
+
+
+def test_low_rates_meet_their_targets(spark):
+    rows = [(i, "large", 1) for i in range(60_000)] + [(100_000 + i, "small", 1) for i in range(100)]
+    for share in (0.5, 0.2, 0.1, 0.05):  # rates of about 1 / 600 to 1 / 11000
+        m, got = make(spark, rows, [("large", share, 3), ("small", 1 - share, 1)])
+        want = 0.95 * 100 / (1 - share) * share
+        assert abs(got["large"].n_tokens - want) <= 1, (share, got["large"].n_tokens, want)
+
+
+def test_steps_are_as_fine_as_the_rate():
+    for rate in (1e-9, 1e-5, 0.0012, 0.1, 0.9):
+        first = cuts(rate, 1)[0]
+        p = 1 - first / LEVELS
+        assert abs(p / -math.expm1(-rate) - 1) < 1e-3
