@@ -19,7 +19,10 @@ Labels given by readers stay clamped: they keep the larger part of their
 sentences' distribution in every round.  A reader labels a document, not a
 sentence, so each subject of a labelled document goes to its best-supported
 sentence in each round; the others may keep only subjects that the reader
-gave.  A document has the subjects of all its sentences.
+gave.  A document has the subjects of all its sentences.  What passes for one
+sentence may be a longer stretch of text: beside its best subject it has those
+that two strong terms of their own support, each term counting for the subject
+that it points to most.
 """
 
 from __future__ import annotations
@@ -116,8 +119,9 @@ def graph(documents: DataFrame, key: str, text: str) -> tuple[DataFrame, DataFra
 
 
 def support(links: DataFrame, marks: DataFrame, subjects: list[str]) -> DataFrame:
-    """(sid, subject, score): one step from sentences to terms and back, verified.
+    """(sid, subject, score, own): one step from sentences to terms and back, verified.
 
+    ``own`` is the joint support of the terms that point to no other subject more.
     ``marks`` has sid, p (array: the distribution over no subject and
     ``subjects``) and weight.
     """
@@ -129,17 +133,25 @@ def support(links: DataFrame, marks: DataFrame, subjects: list[str]) -> DataFram
     share = F.array(*[F.struct(F.lit(s).alias("subject"), ((F.col(f"s{i}") + PRIOR * prior) / (F.col("w") + PRIOR)).alias("a")) for i, s in enumerate(subjects)])
     strong = stage(terms.select("word", F.explode(share).alias("x")).select("word", "x.subject", "x.a").filter(F.col("a") >= FLOOR), "strong")
     said = links.select("sid", "n_words", F.inline("words"))
-    runs = said.join(strong, "word").groupBy("sid", "subject", "run").agg(F.max("a").alias("top"), F.collect_list("a").alias("all"), F.first("n_words").alias("n_words"))
-    both = runs.groupBy("sid", "subject").agg(
+    runs = said.join(strong, "word").repartition("sid").groupBy("sid", "subject", "run").agg(F.max("a").alias("top"), F.collect_list("a").alias("all"), F.first("n_words").alias("n_words"))
+    most = F.row_number().over(Window.partitionBy("sid", "run").orderBy(F.col("top").desc(), "subject"))
+    both = runs.withColumn("most", most).groupBy("sid", "subject").agg(
+        F.sort_array(F.collect_list(F.when(F.col("most") == 1, F.col("top"))), asc=False).alias("mine"),
         F.sort_array(F.collect_list("top"), asc=False).alias("tops"), F.sort_array(F.flatten(F.collect_list("all")), asc=False).alias("all"), F.first("n_words").alias("n_words")
     )
     firm = F.size(F.filter("all", lambda a: a >= CUT))
     phrase = F.when((firm >= PHRASE) & (firm >= PHRASE_SHARE * F.col("n_words")), F.get("all", F.lit(PHRASE - 1)))
-    pair = F.sqrt(F.get("tops", F.lit(0)) * F.get("tops", F.lit(1)))
-    linked = both.select("sid", "subject", F.greatest(F.coalesce(pair, F.lit(0.0)), F.coalesce(phrase, F.lit(0.0))).alias("score"))
+    pair = lambda tops: F.coalesce(F.sqrt(F.get(tops, F.lit(0)) * F.get(tops, F.lit(1))), F.lit(0.0))
+    linked = both.select("sid", "subject", F.greatest(pair("tops"), F.coalesce(phrase, F.lit(0.0))).alias("score"), pair("mine").alias("own"))
     alike = F.explode(F.array(*[F.struct(F.lit(s).alias("subject"), (F.col("p")[i + 1] * F.col("weight") / (F.col("weight") + PRIOR)).alias("score")) for i, s in enumerate(subjects)]))
-    repeated = marks.filter(F.col("weight") >= REPEATED).select("sid", alike.alias("x")).select("sid", "x.subject", "x.score").filter(F.col("score") >= MAJORITY)
-    return linked.unionByName(repeated).groupBy("sid", "subject").agg(F.max("score").alias("score")).filter("score > 0")
+    repeated = marks.filter(F.col("weight") >= REPEATED).select("sid", alike.alias("x")).select("sid", "x.subject", "x.score", F.lit(0.0).alias("own")).filter(F.col("score") >= MAJORITY)
+    return linked.unionByName(repeated).groupBy("sid", "subject").agg(F.max("score").alias("score"), F.max("own").alias("own")).filter("score > 0")
+
+
+def held(scores: DataFrame, least: float) -> DataFrame:
+    """(sid, subject, score): the best subject of each sentence from ``least``, and others with terms of their own from ``ACCEPT``."""
+    nth = F.row_number().over(Window.partitionBy("sid").orderBy(F.col("score").desc(), "subject"))
+    return scores.filter(F.col("score") >= least).withColumn("nth", nth).filter((F.col("nth") == 1) | (F.col("own") >= ACCEPT)).select("sid", "subject", "score")
 
 
 def _votes(given: DataFrame, scores: DataFrame | None, subjects: list[str]) -> DataFrame:
@@ -153,7 +165,7 @@ def _votes(given: DataFrame, scores: DataFrame | None, subjects: list[str]) -> D
         mass = F.when(F.col("label").isNull(), 0.0).when(alone, 1.0).otherwise(0.6 / F.size("labels"))
         chosen = pairs.withColumn("mass", mass)
     else:
-        scored = pairs.join(scores.withColumnRenamed("subject", "label"), ["sid", "label"], "left").withColumn("score", F.coalesce("score", F.lit(0.0)))
+        scored = pairs.join(scores.select("sid", F.col("subject").alias("label"), "score"), ["sid", "label"], "left").withColumn("score", F.coalesce("score", F.lit(0.0)))
         best = F.row_number().over(Window.partitionBy("doc_id", "label").orderBy(F.col("score").desc(), "sid"))
         mine = F.row_number().over(Window.partitionBy("doc_id", "sid").orderBy(F.col("score").desc(), "label"))
         scored = scored.withColumn("best", best).withColumn("mine", mine)
@@ -200,17 +212,15 @@ def subject_areas(documents: DataFrame, labels: DataFrame, areas: DataFrame, key
         if scores is None:
             marks = votes.select("sid", F.col("v").alias("p"), F.col("votes").alias("weight"))
         else:
-            top = scores.groupBy("sid").agg(F.max_by(F.struct("subject", "score"), F.struct("score", F.col("subject"))).alias("top")).select("sid", "top.subject", "top.score")
-            taken = F.coalesce(F.col("score"), F.lit(0.0)) >= CUT
-            own = F.array(F.when(taken, 0.0).otherwise(1.0), *[F.when(taken & (F.col("subject") == s), 1.0).otherwise(0.0) for s in subjects])
+            top = held(scores, CUT).groupBy("sid").agg(F.collect_list("subject").alias("held"))
+            own = F.array(F.when(F.col("held").isNull(), 1.0).otherwise(0.0), *[F.when(F.array_contains("held", s), 1 / F.size("held")).otherwise(0.0) for s in subjects])
             both = everyone.join(top, "sid", "left").withColumn("own", own).join(votes, "sid", "left")
             kept = F.zip_with("v", "own", lambda v, o: CLAMP * v + (1 - CLAMP) * o)
             marks = both.select("sid", F.when(F.col("v").isNull(), F.col("own")).otherwise(kept).alias("p"), F.coalesce("votes", F.lit(GUESS)).alias("weight"))
         before, scores = scores, stage(support(links, marks, subjects), f"round{i}")
         drop(before)
     links.unpersist()
-    first = F.row_number().over(Window.partitionBy("sid").orderBy(F.col("score").desc(), "subject"))
-    taken = scores.filter(F.col("score") >= ACCEPT).withColumn("nth", first).filter("nth = 1").select("sid", "subject", "score")
+    taken = held(scores, ACCEPT)
     # a third of the documents may hold one sentence: its documents are spread over the salts
     salts = F.explode(F.array(*[F.lit(i) for i in range(_SALTS)]))
     spread = of_docs.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(_SALTS)).cast("int"))

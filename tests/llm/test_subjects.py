@@ -60,6 +60,18 @@ def test_held_out_documents(spark):
     assert counts["travel"] == 0 and counts["law"] == sum("law" in v for v in got.values())
 
 
+def test_stretch_without_sentence_ends_keeps_its_subjects(spark):
+    docs, _, labels = corpus(1800)
+    rng, want = random.Random(2), {}
+    for i in range(30):
+        want[7000 + i] = set(rng.sample(list(SUBJECTS), 2))
+        docs.append((7000 + i, "\n".join(" ".join(rng.sample(SUBJECTS[s][0], 3)) for s in sorted(want[7000 + i])), "w", "s", 0.0))
+    got = {}
+    for r in subject_areas(spark.createDataFrame(docs, DOC), spark.createDataFrame(labels, LABEL), areas(spark)).filter("doc_id >= 7000").collect():
+        got.setdefault(r.doc_id, set()).add(r.subject)
+    assert sum(got.get(i) == w for i, w in want.items()) >= 27
+
+
 def test_no_labels_no_areas_no_documents(spark):
     docs, _, labels = corpus(20)
     df, given = spark.createDataFrame(docs, DOC), spark.createDataFrame(labels, LABEL)
