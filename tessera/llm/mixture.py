@@ -2,20 +2,22 @@
 
 Each record gets a hash-seeded uniform number; inverting a Poisson
 distribution there, cut at the source's cap, gives its number of copies.  The
-mean of each source is set so that its tokens meet its target.  For that the
-uniform numbers are cut into steps and the tokens summed per source and step,
-from which the tokens that any mean would draw are known without touching the
-records again.  A step is a fixed share of what lies above it (a number keeps
-the leading bits of its distance from 1), so that a low rate is met as closely
-as a high one; each halving of that distance adds ``LEVELS`` / 2 steps.
+number is the whole 64-bit hash, read as a distance from 1: that distance is a
+floating point number, so a rate of one in 10^15 is as exact as one of a half,
+and a source may be any number of times larger than what it must give.
+
+The mean of each source is set so that its tokens meet its target.  A closed
+form of the expected tokens gives the first guess; then the tokens that a few
+means around it would really draw are counted over all records, and the means
+close in on the target until it is met to ``TOLERANCE`` or between two
+records.  A count is one aggregate over three narrow columns; a large source
+needs one, as its tokens are close to the expected ones.
 """
 
 from __future__ import annotations
 
 import math
-from bisect import bisect_left
-from collections import defaultdict
-from itertools import accumulate
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -23,12 +25,10 @@ from pyspark.sql import functions as F
 from tessera.functions.text import trimmed
 from tessera.sources.tables import stage
 
-#: Uniform numbers run from 0 to LEVELS; as many values have the leading bits that are kept of the distance from LEVELS.
-LEVELS = 4096
-#: Bits of a hash that make a uniform number: as many as a double holds.
-_BITS = 53
 #: Share of the largest feasible total that is drawn; below 1, so that no mean is infinite.
 UTILISATION = 0.95
+#: A source's tokens may differ from its target by so much of it; means that are tried at once; width below which a mean is as good as known.
+TOLERANCE, TRIED, NARROW = 1e-5, 15, 1e-9
 
 
 def source_key(c: Column | str) -> Column:
@@ -36,69 +36,107 @@ def source_key(c: Column | str) -> Column:
     return F.lower(trimmed(c))
 
 
-def _level(seed: int, key: str) -> Column:
-    """A record's uniform number, rounded down to a step."""
-    t = F.pmod(F.xxhash64(F.lit(seed), F.col(key)), F.lit(1 << _BITS))
-    low = F.greatest(F.length(F.bin(t)) - (LEVELS.bit_length() - 1), F.lit(0))
-    above = F.call_function("shiftleft", F.call_function("shiftright", t, low) + 1, low)
-    return F.lit(float(LEVELS)) - above * F.lit(LEVELS / (1 << _BITS))  # exact in doubles
+def distance(seed: int, key: str) -> Column:
+    """A record's uniform number as its distance from 1, above 0 and at most 1."""
+    half = F.call_function("shiftrightunsigned", F.xxhash64(F.lit(seed), F.col(key)), F.lit(1))
+    return (half.cast("double") + 0.5) * F.lit(2.0**-63)
 
 
-def cuts(mean: float, cap: int) -> list[float]:
-    """Levels from which a record has at least 1, 2, ... cap copies."""
-    out, term, above = [], math.exp(-mean), -math.expm1(-mean)
-    for k in range(cap):
-        share, power = math.frexp(max(above, 0.0))
-        out.append(LEVELS * (1 - math.ldexp(round(share * LEVELS) / LEVELS, power)))
-        term *= mean / (k + 1)
-        above -= term
-    return out
+def tails(mean: float, cap: int) -> list[float]:
+    """The probabilities of at least 1, 2, ... cap under a Poisson distribution, each exact to its own size.
 
-
-class _Tokens:
-    """The tokens of a source by level: how many a mean draws."""
-
-    def __init__(self, by_level: dict[float, int]):
-        self.levels = sorted(by_level)
-        self.below = [0, *accumulate(by_level[x] for x in self.levels)]
-
-    def drawn(self, mean: float, cap: int) -> int:
-        return sum(self.below[-1] - self.below[bisect_left(self.levels, c)] for c in cuts(mean, cap))
-
-
-def plan(tokens: dict[str, dict[float, int] | list[int]], targets: dict[str, tuple[float, int]], utilisation: float = UTILISATION) -> dict[str, list[float]]:
-    """Cuts per source from its tokens per level (a list: those of the levels 0, 1, ...).
+    A record has at least k copies where its distance from 1 is within the k-th.
+    """
+    if mean <= 0:
+        return [0.0] * cap
+    last = cap + int(mean + 12 * math.sqrt(mean)) + 40
+    above, out = 0.0, [0.0] * (cap + 1)
+    for k in range(last, 0, -1):
+        above += math.exp(k * math.log(mean) - mean - math.lgamma(k + 1))
+        if k <= cap:
+            out[k] = min(above, 1.0)
+    return out[1:]
+
+
+def mean_for(copies: float, cap: int) -> float:
+    """The mean under which a record has so many copies on average, the cap included."""
+    low = high = max(copies, 1e-300)  # a cap only lowers the average
+    while high < 40 + 2 * cap and sum(tails(high, cap)) < copies:
+        high *= 2
+    for _ in range(50):
+        mid = (low + high) / 2
+        low, high = (mid, high) if sum(tails(mid, cap)) < copies else (low, mid)
+    return (low + high) / 2
+
+
+def wanted(tokens: dict[str, int], targets: dict[str, tuple[float, int]], utilisation: float = UTILISATION, total: float | None = None) -> dict[str, float]:
+    """The tokens that each source has to give.
 
     Sources without tokens can't contribute: the others share the total in
     proportion to their targets.  The total is ``utilisation`` of the largest
-    for which no source needs more than its cap.
+    for which no source needs more than its cap, or ``total`` where that is less.
     """
-    tokens = {s: dict(enumerate(t)) if isinstance(t, list) else t for s, t in tokens.items()}
-    live = {s: (p, m) for s, (p, m) in targets.items() if p > 0 and m > 0 and sum(tokens.get(s, {}).values()) > 0}
+    live = {s: (p, m) for s, (p, m) in targets.items() if p > 0 and m > 0 and tokens.get(s, 0) > 0}
     if not live:
         return {}
     whole = sum(p for p, _ in live.values())
-    total = utilisation * min(m * sum(tokens[s].values()) / (p / whole) for s, (p, m) in live.items())
-    out = {}
-    for s, (p, m) in live.items():
-        have = _Tokens(tokens[s])
-        want, low, high = p / whole * total, 0.0, 30.0 * m
-        for _ in range(60):
-            mid = (low + high) / 2
-            low, high = (mid, high) if have.drawn(mid, m) < want else (low, mid)
-        best = min((low, high), key=lambda x: abs(have.drawn(x, m) - want))
-        out[s] = cuts(best, m)
-    return out
-
-
-def mixture(records: DataFrame, targets: DataFrame, key: str, source: Column, size: Column, seed: int = 17, utilisation: float = UTILISATION) -> DataFrame:
+    most = utilisation * min(m * tokens[s] / (p / whole) for s, (p, m) in live.items())
+    most = most if total is None else min(most, total)
+    return {s: p / whole * most for s, (p, _) in live.items()}
+
+
+def means(
+    want: dict[str, float], sums: dict[str, tuple[int, float, int]], caps: dict[str, int], drawn: Callable[[dict[str, list[float]]], dict[str, list[int]]]
+) -> dict[str, float]:
+    """The mean of each source at which its records really draw what is wanted.
+
+    ``sums`` has the tokens of a source, the sum of their squares and the
+    largest record, ``drawn`` counts the tokens that each of some means draws
+    from each of some sources.  A source is done as well when no more than one
+    record lies between two means.
+    """
+    low, high, best, grid = {}, {}, {}, {}  # low and high: (mean, tokens)
+    for s, w in want.items():
+        tokens, squares, _ = sums[s]
+        spread = min(0.5, 5 * math.sqrt(squares / tokens / w))  # five standard deviations
+        steps = [1 + spread * (2 * i / (TRIED - 1) - 1) for i in range(TRIED)]
+        low[s], high[s] = (0.0, 0), (40.0 + 2 * caps[s], caps[s] * tokens)
+        grid[s] = sorted({mean_for(w * x / tokens, caps[s]) for x in steps})
+    while grid:
+        got = drawn(grid)
+        for s, tried in list(grid.items()):
+            for m, n in zip(tried, got[s], strict=True):
+                if s not in best or abs(n - want[s]) < best[s][0]:
+                    best[s] = (abs(n - want[s]), m)
+                if n < want[s]:
+                    low[s] = max(low[s], (m, n))
+                else:
+                    high[s] = min(high[s], (m, n))
+            width = high[s][0] - low[s][0]
+            if best[s][0] <= TOLERANCE * want[s] or width <= NARROW * high[s][0] or high[s][1] - low[s][1] <= sums[s][2]:
+                del grid[s]
+            else:
+                grid[s] = [low[s][0] + width * i / (TRIED + 1) for i in range(1, TRIED + 1)]
+    return {s: m for s, (_, m) in best.items()}
+
+
+def _copies(all_tails: Column) -> Column:
+    return F.size(F.filter(all_tails, lambda t: F.col("distance") <= t))
+
+
+def mixture(
+    records: DataFrame, targets: DataFrame, key: str, source: Column, size: Column, seed: int = 17, utilisation: float = UTILISATION, total: float | None = None
+) -> DataFrame:
     """(key, source, n_tokens, copy_no, position_key): the mixture in a global random order.
 
-    ``targets`` has source, target_share and max_repeats, one row per source.
-    ``key`` names the records' id column.
+    ``targets`` has source, target_share and max_repeats, one row per source: a
+    list that the driver holds.  ``key`` names the records' id column, ``total``
+    the wanted number of tokens (none: as many as the caps allow, times
+    ``utilisation``).
 
-    * A record with a null or unlisted source takes no part; nor does a source
-      with a null, zero or negative share or cap.
+    * A record with a null or unlisted source takes no part and its size is
+      never computed; nor does a source with a null, zero or negative share or
+      cap.
     * A record of size 0 may be drawn and adds nothing; a null size counts as 0.
     * Rows with the same key get the same number of copies.
     * No records or no targets: an empty mixture.
@@ -106,22 +144,35 @@ def mixture(records: DataFrame, targets: DataFrame, key: str, source: Column, si
     The order is that of a hash of seed, key and copy: the range partitioning
     on it is even whatever the sources are.
     """
-    named = targets.select(source_key("source").alias("_source"), "target_share", "max_repeats").filter("_source IS NOT NULL AND target_share > 0 AND max_repeats > 0")
+    spark = records.sparkSession
+    named = targets.select(source_key("source").alias("s"), "target_share", "max_repeats").filter("s IS NOT NULL AND target_share > 0 AND max_repeats > 0")
+    listed = {r.s: (r.target_share, r.max_repeats) for r in named.collect()}  # the list of targets
+
+    def beside(values: dict[str, list], kind: str) -> DataFrame:
+        return F.broadcast(spark.createDataFrame(list(values.items()), f"_source string, _tails {kind}"))  # as long as the list of targets
+
+    here = source_key(source) == F.col("_source")
+    kept = records.join(beside({s: [] for s in listed}, "array<double>").select("_source"), here, "left_semi")
     sized = stage(
-        records.select(F.col(key).alias("key"), source_key(source).alias("source"), F.coalesce(size, F.lit(0)).cast("bigint").alias("n_tokens"))
-        .join(named.select("_source"), F.col("source") == F.col("_source"), "left_semi")
-        .withColumn("level", _level(seed, "key")),
+        kept.select(F.col(key).alias("key"), source_key(source).alias("source"), F.coalesce(size, F.lit(0)).cast("bigint").alias("n_tokens"), distance(seed, key).alias("distance")),
         "sized",
     )
-    tokens: dict[str, dict[float, int]] = defaultdict(dict)
-    for r in sized.groupBy("source", "level").agg(F.sum("n_tokens").alias("n")).collect():  # LEVELS / 2 rows a halving of 1 / records, for each listed source
-        tokens[r.source][r.level] = r.n
-    chosen = plan(tokens, {r[0]: (r[1], r[2]) for r in named.collect()}, utilisation)
-    copies = F.lit(0)
-    for s, levels in chosen.items():
-        copies = F.when(F.col("source") == s, sum((F.col("level") >= c).cast("int") for c in levels)).otherwise(copies)
+    of = sized.groupBy("source").agg(F.sum("n_tokens").alias("n"), F.sum(F.col("n_tokens").cast("double") * F.col("n_tokens")).alias("squares"), F.max("n_tokens").alias("largest"))
+    sums = {r.source: (r.n, r.squares, r.largest) for r in of.collect()}  # one row a listed source
+    caps = {s: m for s, (_, m) in listed.items()}
+
+    def drawn(grid: dict[str, list[float]]) -> dict[str, list[int]]:
+        tried = max(map(len, grid.values()))
+        table = beside({s: [tails(m, caps[s]) for m in tried_] for s, tried_ in grid.items()}, "array<array<double>>")
+        counts = [F.sum(F.col("n_tokens") * _copies(F.get("_tails", F.lit(i)))).alias(f"n{i}") for i in range(tried)]
+        rows = sized.join(table, F.col("source") == F.col("_source")).groupBy("source").agg(*counts).collect()  # one row a listed source
+        return {r.source: [r[f"n{i}"] for i in range(len(grid[r.source]))] for r in rows}
+
+    want = wanted({s: n for s, (n, *_) in sums.items()}, listed, utilisation, total)
+    chosen = {s: tails(m, caps[s]) for s, m in means(want, sums, caps, drawn).items()}
     return (
-        sized.withColumn("copies", copies)
+        sized.join(beside(chosen, "array<double>"), F.col("source") == F.col("_source"))
+        .withColumn("copies", _copies(F.col("_tails")))
         .filter("copies > 0")
         .select("key", "source", "n_tokens", F.explode(F.sequence(F.lit(1), "copies")).alias("copy_no"))
         .withColumn("position_key", F.xxhash64(F.lit(seed + 1), "key", "copy_no"))
