@@ -7,14 +7,15 @@ notices, which the features never see: comments are cut out of the code
 before anything is measured, and the header doesn't count in the density.
 
 * positive: a notice of a generator, of a third party's licence or of a
-  bundler, or content of the index of known third-party files;
-* positive too: a body that is one long literal given to a name.  Files of
-  mere data carry no notices, so their label has to be this one;
-* negative: a team's own copyright line.
+  bundler;
+* negative: a team's own copyright line;
+* positive too, where the header says nothing: a body that is one long literal
+  given to a name.  Files of mere data carry no notices, so a forest of notices
+  alone has never seen one and finds none of them; this label stands in.
 
 The forest is fitted on at most ``LABELLED`` rows of each class, drawn by a
 hash; every file is scored.  Afterwards an exact check adds files whose hash
-is in the third-party index.
+is in the third-party index, should the forest have missed one.
 """
 
 from __future__ import annotations
@@ -29,7 +30,6 @@ from pyspark.ml.classification import RandomForestClassificationModel, RandomFor
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from tessera.sources.ship import ship
 from tessera.sources.tables import stage
@@ -55,23 +55,37 @@ FEATURES = (
 )
 
 #: A header: comments, blank lines and imports before anything else.
-HEAD = r"(?:\s*(?://[^\n]*(?:\n|\z)|/\*(?s:.*?)\*/|(?:import|export|part|library)\b[^\n;]*;))*"
+HEAD = r"(?:\s*(?://[^\n]*(?:\n|\Z)|/\*(?s:.*?)\*/|(?:import|export|part|library)\b[^\n;]*;))*"
 #: A file of data has at most so many names, and at least so many characters.
 DATA_NAMES, DATA_LENGTH = 5, 200
 
-_HEADER = re.compile(HEAD.replace(r"\z", r"\Z"))
-_COMMENT = re.compile(r"('(?:[^'\\\n]|\\.)*'|\"(?:[^\"\\\n]|\\.)*\")|//[^\n]*|/\*.*?\*/", re.S)
+_HEADER, _FOREIGN, _OWN = re.compile(HEAD), re.compile(FOREIGN), re.compile(OWN)
+_COMMENT = re.compile(r"('(?:[^'\\\n]|\\.)*'|\"(?:[^\"\\\n]|\\.)*\")|//[^\n]*|/\*(?:.*?\*/|.*)", re.S)  # an open comment goes to the end
 _TOKEN = re.compile(r"'''.*?'''|[A-Za-z_$][\w$]*|\d[\w.]*|'[^'\n]*'|\"[^\"\n]*\"|[^\s\w]", re.S)
 _WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
 _PACKAGE = re.compile(r"import '([\w:./-]*)'|from '([\w./-]*)'")
 _DROP_NAMES = {c: None for c in range(128) if chr(c).isalnum() or chr(c) in "_$ \t\r"}
 
 
-def measure(content: str, repo: str | None = None) -> list[float]:
-    """The features of one file, in the order of ``FEATURES``, and whether its body is one literal."""
+def _code(text: str) -> str:
+    return _COMMENT.sub(lambda m: m[1] or "", text) if "//" in text or "/*" in text else text
+
+
+def notice(header: str) -> float | None:
+    """1 for a foreign notice in the header, 0 for a team's own, none for neither or both."""
+    foreign, own = _FOREIGN.search(header) is not None, _OWN.search(header) is not None
+    return None if foreign == own else float(foreign)
+
+
+def measure(content: str, repo: str | None = None) -> tuple[list[float], float | None]:
+    """The features of one file, in the order of ``FEATURES``, and the label that its header gives.
+
+    The header is read in Python: its pattern, unlike Java's, takes no stack
+    for repetitions, so a header may have any number of lines.
+    """
     head = _HEADER.match(content)[0]
     body = content[len(head) :].lstrip()
-    code = _COMMENT.sub(lambda m: m[1] or "", body) if "//" in body or "/*" in body else body
+    code, said = _code(body), notice(head)
     tokens = _TOKEN.findall(code) or ["."]
     n = len(tokens)
     counts = Counter(tokens)
@@ -86,7 +100,7 @@ def measure(content: str, repo: str | None = None) -> list[float]:
     raw = code.encode("utf-8", "replace")
     size = max(len(code), 1)
     own = (repo or "").split("-", 1)[-1].replace("-", "_")
-    imports = [a or b for a, b in _PACKAGE.findall(head)]
+    imports = [a or b for a, b in _PACKAGE.findall(_code(head))]
     foreign = sum(1 for x in imports if x.startswith("package:") and own and not x[8:].startswith(own))
     return [
         len(zlib.compress(raw, 1)) / max(len(raw), 1),
@@ -111,26 +125,19 @@ def measure(content: str, repo: str | None = None) -> list[float]:
         sum(1 for t in names if t[0].isupper()) / unlike,
         math.log(size),
         code.count("();") / len(lines),
-        float(sum(names.values()) <= DATA_NAMES and len(code) >= DATA_LENGTH),
-    ]
+    ], 1.0 if said is None and sum(names.values()) <= DATA_NAMES and len(code) >= DATA_LENGTH else said
 
 
 def _measured(content: pa.Array, repo: pa.Array) -> pa.Array:
-    rows = [None if text is None else measure(text, name) for text, name in zip(content.to_pylist(), repo.to_pylist(), strict=True)]
-    return pa.array(rows, pa.list_(pa.float32()))
+    rows = [(None, None) if text is None else measure(text, name) for text, name in zip(content.to_pylist(), repo.to_pylist(), strict=True)]
+    x, label = pa.array([r[0] for r in rows], pa.list_(pa.float32())), pa.array([r[1] for r in rows], pa.float64())
+    return pa.StructArray.from_arrays([x, label], names=["x", "label"])
 
 
 def features(content: str, repo: str) -> Column:
-    """``measure`` of each file; null for a null content."""
+    """``measure`` of each file as (x, label); null values for a null content."""
     ship()
-    return F.arrow_udf(_measured, T.ArrayType(T.FloatType()))(content, repo)
-
-
-def notice(content: Column) -> Column:
-    """1 for a foreign notice in the header, 0 for a team's own, null for neither or both."""
-    header = F.regexp_extract(content, rf"\A({HEAD})", 1)
-    foreign, own = header.rlike(FOREIGN), header.rlike(OWN)
-    return F.when(foreign & ~own, 1.0).when(own & ~foreign, 0.0)
+    return F.arrow_udf(_measured, "struct<x: array<float>, label: double>")(content, repo)
 
 
 def fit(labelled: DataFrame, bound: int = LABELLED) -> RandomForestClassificationModel | None:
@@ -165,17 +172,13 @@ def foreign_files(files: DataFrame, index: DataFrame, bound: int = LABELLED) ->
     * Without labels of both classes there is no forest: scores are null and
       only the exact check remains.
     """
-    known = index.filter("content IS NOT NULL").select("content", "sha256")
-    listed = known.select(F.lit(None).cast("bigint").alias("file_id"), F.lit(None).cast("string").alias("repo"), "content", "sha256", F.lit(1.0).alias("label"))
-    own = files.filter("content IS NOT NULL").select("file_id", "repo", "content", "sha256", notice(F.col("content")).alias("label"))
-    x = stage(own.unionByName(listed).select("file_id", "sha256", "label", features("content", "repo").alias("x")), "features")
-    x = x.withColumn("label", F.coalesce("label", F.when(F.col("x")[len(FEATURES)] == 1, 1.0))).withColumn("x", F.slice("x", 1, len(FEATURES)))
+    measured = files.filter("content IS NOT NULL").select("file_id", "sha256", features("content", "repo").alias("m"))
+    x = stage(measured.select("file_id", "sha256", "m.label", "m.x"), "features")
     model = fit(x.filter("label IS NOT NULL").select("x", "label"), bound)
-    scored = x.filter("file_id IS NOT NULL")
     if model is None:
-        scored = scored.withColumn("score", F.lit(None).cast("double"))
+        scored = x.withColumn("score", F.lit(None).cast("double"))
     else:
-        v = model.setFeaturesCol("v").transform(scored.withColumn("v", array_to_vector(F.col("x").cast("array<double>"))))
+        v = model.setFeaturesCol("v").transform(x.withColumn("v", array_to_vector(F.col("x").cast("array<double>"))))
         scored = v.withColumn("score", vector_to_array("probability")[1])
-    copies = known.select("sha256").filter("sha256 IS NOT NULL").distinct().withColumn("known", F.lit(True))
+    copies = index.filter("content IS NOT NULL").select("sha256").filter("sha256 IS NOT NULL").distinct().withColumn("known", F.lit(True))
     return scored.join(copies, "sha256", "left").select("file_id", "score", F.coalesce("known", F.lit(False)).alias("known"), "label", "x")

@@ -1,6 +1,8 @@
 import hashlib
 import random
 
+import numpy as np
+
 from tessera.llm.sourcefiles import CUT, FEATURES, foreign_files, measure
 
 FILE = "file_id bigint, repo string, content string, sha256 string, label string, x int"
@@ -51,7 +53,24 @@ def test_no_labels_and_empty(spark):
 
 def test_notices_are_hidden():
     body = "class A {\n  int x = 3;\n}\n"
-    plain = measure(body, "r")
-    assert measure("// Copyright 2021 the x team.\n" + body, "r") == plain == measure("/* SPDX-License-Identifier: q */\n\n" + body, "r")
-    assert len(plain) == len(FEATURES) + 1
-    assert len(measure("", None)) == len(FEATURES) + 1 and len(measure("'" * 100_000 + "é", "r")) == len(FEATURES) + 1
+    plain, label = measure(body, "r")
+    assert label is None and len(plain) == len(FEATURES)
+    assert measure("// Copyright 2021 the x team.\n" + body, "r") == (plain, 0.0)
+    assert measure("/* SPDX-License-Identifier: q */\n\n" + body, "r") == (plain, 1.0)
+    assert measure("// import 'package:other/y.dart';\n/* import 'package:z/y.dart'; */\n" + body, "r") == (plain, None)
+    assert measure("import 'package:other/y.dart';\n" + body, "r")[0][FEATURES.index("foreign_imports")] == 1
+    assert len(measure("", None)[0]) == len(FEATURES) == len(measure("'" * 100_000 + "é", "r")[0])
+
+
+def test_headers_and_comments_of_any_length(spark):
+    body = "class A {\n  int x = 3;\n}\n"
+    texts = ["// line of a long licence\n" * 100_000 + body, "/* " + "words " * 1_700_000 + "*/\n" + body, "/* open " + "/* " * 200_000, "// only comments\n" * 50_000]
+    rows = [(i, "r", t, sha(t), None, None) for i, t in enumerate(texts)]
+    got = foreign_files(spark.createDataFrame(rows, FILE), spark.createDataFrame([], INDEX)).collect()
+    by = {r.file_id: list(r.x) for r in got}
+    assert len(by) == 4 and by[0] == by[1] == [float(np.float32(v)) for v in measure(body, "r")[0]]
+
+
+def test_mere_data_is_a_label():
+    assert measure("const a = <int>[\n" + "  0x01, 0x02,\n" * 40 + "];\n", "r")[1] == 1.0
+    assert measure("// Copyright 2021 the x team.\nconst a = <int>[\n" + "  0x01, 0x02,\n" * 40 + "];\n", "r")[1] == 0.0
