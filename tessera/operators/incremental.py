@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.operators.vector import Encoder, encoded
+from tessera.operators import extract, search
+from tessera.operators.vector import Encoder, embedding_text, encoded
 from tessera.sources.tables import stage
 
 
@@ -53,3 +54,19 @@ def refresh_vectors(old_vectors: DataFrame, old_hashes: DataFrame, files: DataFr
     count = lambda df, name: df.agg(F.count(F.lit(1)).alias(name)).withColumn("_k", F.lit(1))
     stats = count(vectors, "total").join(count(fresh, "encoded"), "_k").join(count(gone, "deleted"), "_k")
     return {"vectors": vectors, "hashes": now, "stats": stats.withColumn("unchanged", F.col("total") - F.col("encoded")).drop("_k")}
+
+
+def documents_of(graph: dict[str, DataFrame], files: DataFrame, lexicon: DataFrame | None = None) -> DataFrame:
+    """(id, document): the text to embed of each node of a graph; ``files`` has each path once."""
+    rows = graph["nodes"].join(graph["file_map"].select("id", "path"), "id", "left").join(files.select("path", "content"), "path", "left")
+    shown = search.class_window(rows, "id")
+    if lexicon is None:
+        return embedding_text(shown.withColumn("synonyms", F.lit(None).cast("string")))
+    words = search.with_synonyms(graph["nodes"], "id", search.camel_words(F.col("id")), lexicon, ", ")
+    return embedding_text(shown.join(words, "id", "left"))
+
+
+def rebuilt(files: DataFrame, old_vectors: DataFrame, old_hashes: DataFrame, lexicon: DataFrame | None, encoder: Encoder, parser: str = "regex") -> dict[str, DataFrame]:
+    """Files to graph and vectors in one go: vectors, hashes, stats, and the graph they belong to."""
+    graph = {name: stage(df, name) for name, df in extract.knowledge_graph(files, parser).items()}
+    return {**refresh_vectors(old_vectors, old_hashes, files, documents_of(graph, files, lexicon), graph["file_map"], encoder), "graph": graph}

@@ -15,10 +15,12 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.operators import graph, search
+from tessera.operators import extract, graph, incremental, search
 from tessera.operators.communities import communities, community_profiles
 from tessera.operators.vector import Encoder, hashing_encoder
 from tessera.plans import context
+from tessera.sources.files import check_rules, init_rules, load_graph, load_hashes, load_vectors, save_graph, save_hashes, save_vectors
+from tessera.sources.tables import scratch
 
 
 @dataclass
@@ -32,6 +34,36 @@ class Workspace:
     vectors: DataFrame | None = None
     lexicon: DataFrame | None = None
     encoder: Encoder = hashing_encoder()
+    store: str | None = None  # folder of the stored vectors and hashes
+    templates: str | None = None  # folder of the editors' rule templates
+
+    def _latest(self) -> DataFrame:
+        """The files, each path once: of one scanned several times the latest scan, then the greatest hash."""
+        order = [F.col(c).desc_nulls_last() for c in ("scanned_at", "file_id", "sha256") if c in self.files.columns] or [F.xxhash64("content")]
+        return extract.first_per(self.files.filter("path IS NOT NULL"), ["path"], *order)
+
+    def build_db(self, parser: str = "regex") -> DataFrame:
+        """Bring the stored vectors up to date with the files; one row: total, encoded, unchanged, deleted.
+
+        The graph is extracted again, so new files get vectors; what hasn't
+        changed since the stored hashes keeps its vector.
+        """
+        if self.store is None:
+            raise ValueError("the workspace has no store")
+        spark = self.files.sparkSession
+        found = incremental.rebuilt(self._latest(), load_vectors(spark, self.store), load_hashes(spark, self.store), self.lexicon, self.encoder, parser)
+        save_vectors(found["vectors"], self.store)
+        save_hashes(found["hashes"], self.store)
+        save_graph(found["graph"], f"{self.store}/graph", parser)
+        graph_ = load_graph(spark, f"{self.store}/graph")
+        self.nodes, self.edges, self.mapping, self.vectors = graph_["nodes"], graph_["edges"], graph_["file_map"], load_vectors(spark, self.store)
+        return found["stats"]
+
+    def init_steering(self, project_path: str, ide: str = "kiro") -> DataFrame:
+        return init_rules(self.files.sparkSession, self.templates or "", project_path, ide)
+
+    def check_steering(self, project_path: str, ide: str = "kiro") -> DataFrame:
+        return check_rules(self.files.sparkSession, project_path, ide)
 
     def list_nodes(self, node_type: str = "", limit: int = 50) -> DataFrame:
         return search.list_nodes(self.nodes, node_type, limit)
@@ -54,8 +86,12 @@ class Workspace:
         return search.grep(files, keyword, context=context_lines, max_files=max_results)
 
     def get_file_content(self, path: str, start_line: int = 1, end_line: int = 0, class_name: str = "") -> DataFrame:
-        """Numbered lines; a class name jumps to the class; 200 lines, or 150 of a class, unless an end is given."""
-        rows = self.files.filter(F.col("path") == path).dropDuplicates(["path"])
+        """Numbered lines with the first, the last, how many there are and how many follow.
+
+        A class name jumps to the class; 200 lines, or 150 of a class, unless an
+        end is given.
+        """
+        rows = self._latest().filter(F.col("path") == path)
         start = F.lit(start_line)
         if class_name:
             line = self.mapping.filter(F.col("id") == class_name).select(F.lit(path).alias("path"), F.col("line").alias("_line"))
@@ -65,9 +101,7 @@ class Workspace:
         count = F.lit(end_line) - begin + 1 if end_line > 0 else F.lit(150 if class_name else 200)
         shown = search.line_window(rows, begin, count)
         more = F.col("total") - F.col("last")
-        footer = F.format_string("\n--- [%d-%d/%d lines] ---", "first", "last", "total")
-        rest = F.when(more > 0, F.format_string("  (%d more lines, go on with start_line=%d)", more, F.col("last") + 1)).otherwise("")
-        return shown.withColumn("text", F.concat("text", footer, rest))
+        return shown.withColumn("more_lines", F.greatest(more, F.lit(0)))
 
     def find_similar_modules(self, module_name: str) -> DataFrame:
         found = graph.similar_modules(self.edges, module_name)
@@ -100,7 +134,7 @@ class Workspace:
         vector = [float(x) for x in self.encoder([text])[0]]
         found = context.hybrid(self.vectors, vector, query, self.nodes, self.edges, self.mapping, top_k)
         return {
-            "files": context.described(found["base"], self.nodes, self.mapping, self.files.dropDuplicates(["path"]), snippet_chars),
+            "files": context.described(found["base"], self.nodes, self.mapping, self._latest(), snippet_chars),
             "flow_files": search.first_files(found["flow"].select("id", F.col("depth").alias("pos")), self.mapping),
             "graph": found["graph"],
             "flow_nodes": found["flow"].orderBy("depth", "id").limit(20),
@@ -111,6 +145,7 @@ class Workspace:
 TOOLS = (
     "list_nodes", "search_by_api_path", "search_by_error_type", "search_by_filename", "grep_in_files", "get_file_content",
     "find_similar_modules", "get_blast_radius", "detect_communities", "get_architecture_overview", "query_context",
+    "build_db", "init_steering", "check_steering",
 )
 
 
@@ -136,7 +171,8 @@ def serve(space: Workspace, lines: Iterable[str]) -> Iterator[str]:
             continue
         try:
             request = json.loads(line) if line.startswith("{") else {"tool": "query_context", "query": line}
-            answer = rendered(call(space, request.pop("tool"), **request))
+            with scratch(space.files.sparkSession):  # nothing of an answer is read after it is rendered
+                answer = rendered(call(space, request.pop("tool"), **request))
             yield json.dumps(json.loads(answer), ensure_ascii=False)
         except Exception as error:  # noqa: BLE001
             yield json.dumps({"error": str(error).split("\n")[0]}, ensure_ascii=False)

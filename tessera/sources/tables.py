@@ -9,27 +9,40 @@ can use when it chooses join strategies.
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
 
+#: Paths staged within the scratch blocks that are open.
+_OPEN: list[list[str]] = []
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One table of a data directory; a single file or a folder of files."""
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share; a temporary one only where none is set."""
+    """The folder all executors share; a temporary one only in a session of one machine that names none.
+
+    A session whose executors may be elsewhere must name one: a folder of the
+    driver's machine would be another folder on each of theirs.
+    """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
         known = spark.sparkContext._jsc.sc().getCheckpointDir()
         if known.isDefined():
             named = known.get()
-        else:
+        elif re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
             named = f"file://{tempfile.mkdtemp(prefix='tessera-')}"
             spark.sparkContext.setCheckpointDir(named)
+        else:
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     return named.rstrip("/")
 
 
@@ -42,18 +55,36 @@ def _file_system(spark: SparkSession, path: str):
 def stage(df: DataFrame, label: str = "t") -> DataFrame:
     """Write ``df`` to the shared folder and read it back.
 
-    The files go when the application ends, or earlier through ``drop``.
+    The files go when the application ends, or earlier through ``drop`` or at
+    the end of a ``scratch`` block.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tessera-{label}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     where, fs = _file_system(spark, path)
     fs.deleteOnExit(where)
+    for made in _OPEN:
+        made.append(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._tessera_path = path
     return out
 
 
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[list[str]]:
+    """Delete what is staged within the block when it ends: for callers that are done with an answer by then."""
+    made: list[str] = []
+    _OPEN.append(made)
+    try:
+        yield made
+    finally:
+        _OPEN.remove(made)
+        for path in made:
+            where, fs = _file_system(spark, path)
+            fs.delete(where, True)
+            fs.cancelDeleteOnExit(where)
+
+
 def drop(*staged: DataFrame | None) -> None:
     """Delete staged tables that no later plan reads."""
     for df in staged:
@@ -61,3 +92,4 @@ def drop(*staged: DataFrame | None) -> None:
         if path:
             where, fs = _file_system(df.sparkSession, path)
             fs.delete(where, True)
+            fs.cancelDeleteOnExit(where)

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tessera.operators import incremental, vector
 from tessera.plans import tools
 from tessera.sources import files as sources
+from tessera.sources import tables
 
 FILE = "path string, content string"
 
@@ -87,7 +88,7 @@ def test_scan_and_stores(spark, tree, tmp_path):
     loaded = sources.load_graph_json(spark, str(tmp_path / "doc.json"))
     assert {(r.id, r.path, r.line) for r in loaded["file_map"].collect()} == {("N", "p", 3), ("S", "old/path", 1)}
     assert loaded["edges"].first().dst == "M" and loaded["nodes"].first().methods == ["é"]
-    for value in (1, 2):
+    for value in (1, 2, 3):
         sources.swap(spark.createDataFrame([(value,)], "v int"), str(tmp_path / "snap"))
         assert spark.read.parquet(str(tmp_path / "snap")).first().v == value
 
@@ -114,11 +115,82 @@ def test_tools(spark):
     assert {f["id"] for f in out[0]["flow_nodes"]} == {"HomePage", "CartModule"} and out[0]["graph"] == [{"line": "HomePage --[routes_to]--> CartModule"}]
     assert [n["id"] for n in out[1]] == ["HomePage"] and "error" in out[2] and out[3] == {"message": "nothing found"}
     text = tools.call(space, "get_file_content", path="r/cart.dart", class_name="CartModule").first()
-    assert text.text.startswith("   1: 1") and "[1-3/3 lines]" in text.text
-    assert "more lines" in tools.call(space, "get_file_content", path="r/cart.dart", end_line=1).first().text
+    assert text.text.startswith("   1: 1") and (text.first, text.last, text.total, text.more_lines) == (1, 3, 3, 0)
+    assert tools.call(space, "get_file_content", path="r/cart.dart", end_line=1).first().more_lines == 2
     assert tools.call(space, "get_blast_radius", node_id="CartModule").count() == 0
     assert tools.call(space, "grep_in_files", keyword="class", file_pattern="*page*").count() == 1
     assert tools.call(space, "search_by_filename", pattern="home").first().in_graph
     assert set(tools.call(space, "get_architecture_overview")) == {"graph_stats", "hub_nodes", "bridge_nodes", "cross_repo_coupling"}
     assert tools.call(space, "find_similar_modules", module_name="CartModule").count() == 0
     assert tools.call(space, "detect_communities", min_size=2).first()["size"] == 2
+
+
+def test_roots_with_special_characters(spark, tmp_path):
+    root = tmp_path / "a+b.c (d)"
+    (root / "app-x" / "lib").mkdir(parents=True)
+    (root / "app-x" / "lib" / "m.dart").write_text("class M {}\n")
+    (root / "app-x" / "lib" / "m.g.dart").write_text("class G {}\n")
+    for named in (str(root), f"{root}/", f"file://{root}", f"file:{root}"):
+        assert [(r.repo, r.path) for r in sources.scan(spark, named, "app-").collect()] == [("app-x", "app-x/lib/m.dart")], named
+    assert {r.path for r in sources.scan_tree(spark, str(root / "app-x"), "x").collect()} == {"lib/m.dart", "lib/m.g.dart"}
+    assert sources.scan_tree(spark, str(tmp_path / "absent")).count() == 0
+
+
+def test_a_cluster_must_name_its_shared_folder(spark):
+    class Conf:
+        def get(self, name, default):
+            return default
+
+    class Context:
+        master = "spark://elsewhere:7077"
+        _jsc = spark.sparkContext._jsc
+
+    class Session:
+        conf, sparkContext = Conf(), Context()
+
+    if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
+        with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+            tables.shared_dir(Session())
+
+
+def test_scratch_is_emptied(spark):
+    with tables.scratch(spark) as made:
+        assert tables.stage(spark.range(3)).count() == 3 and len(made) == 1
+        where, fs = tables._file_system(spark, made[0])
+        assert fs.exists(where)
+    assert not fs.exists(where)
+
+
+def test_build_db_and_rules(spark, tmp_path):
+    encoder = vector.hashing_encoder(16)
+    text = {"r/lib/a.dart": "class AModule extends Module {\n  i.addSingleton<BService>(BService.new);\n}\n", "r/lib/b.dart": "class BService {\n}\n"}
+    schema = "repo string, path string, content string, scanned_at int"
+    none = spark.createDataFrame([], "id string, node_type string")
+    (tmp_path / "templates").mkdir()
+    (tmp_path / "templates" / "workflow_full.md").write_text("rules")
+    (tmp_path / "project").mkdir()
+    stats = []
+    for step in range(3):
+        rows = [("r", p, t, 1) for p, t in text.items()] + [("r", "r/lib/a.dart", "class Old {}\n", 0)]
+        space = tools.Workspace(none, none, none, spark.createDataFrame(rows, schema), encoder=encoder, store=str(tmp_path / "store"), templates=str(tmp_path / "templates"))
+        s = tools.call(space, "build_db").first()
+        stats.append((s.total, s.encoded, s.unchanged, s.deleted))
+        if step == 0:
+            text["r/lib/b.dart"] += "// more\n"
+            text["r/lib/c.dart"] = "class CPage {\n}\n"
+        elif step == 1:
+            del text["r/lib/a.dart"]
+            rows_old = text.setdefault("r/lib/a.dart", "")
+            assert rows_old == ""
+    assert stats == [(2, 2, 0, 0), (3, 2, 1, 0), (2, 0, 2, 1)]
+    assert {r.id for r in sources.load_vectors(spark, str(tmp_path / "store")).collect()} == {"BService", "CPage"}
+    served = json.loads(next(tools.serve(space, ['{"tool": "build_db"}'])))
+    assert served == [{"total": 2, "encoded": 0, "deleted": 0, "unchanged": 2}]
+    assert {r.id for r in space.nodes.collect()} == {"BService", "CPage"}
+    project = str(tmp_path / "project")
+    assert [r.present for r in tools.call(space, "check_steering", project_path=project, ide="cursor").collect()] == [False]
+    for want in ("created", "skipped"):
+        assert [(r.path, r.status) for r in tools.call(space, "init_steering", project_path=project, ide="Cursor").collect()] == [(".cursorrules", want)]
+    assert [r.present for r in tools.call(space, "check_steering", project_path=project, ide="cursor").collect()] == [True]
+    with pytest.raises(ValueError, match="no editor"):
+        tools.call(space, "check_steering", project_path=project, ide="none")
