@@ -43,12 +43,48 @@ def test_against_brute_force(spark):
 
 
 def test_crowded_buckets_are_exact(spark, monkeypatch):
-    monkeypatch.setattr(setjoin, "BUCKET", 2)
-    monkeypatch.setattr(setjoin, "BANDS", 3)
+    """Prefix filtering loses nothing: with every shared bucket crowded, all pairs of these sets come out."""
+    monkeypatch.setattr(setjoin, "BUCKET", 1)
+    monkeypatch.setattr(setjoin, "PART", 8)
     rng = random.Random(6)
-    rows = [("k", f"r{i}", [*"abcdefgh", *rng.sample("uvwxyz", rng.randint(0, 4))]) for i in range(40)]
-    got, want = run(spark, rows), brute(rows)
-    assert got <= want and len(got) > 0.9 * len(want)
+    rows = [("k", f"r{i}", [*"abcdefgh", *rng.sample("uvwxyz", rng.randint(0, 4))]) for i in range(60)]
+    assert run(spark, rows) == brute(rows)
+
+
+def test_crowded_at_the_real_size(spark):
+    """Buckets of more than BUCKET classes: sets that share most items."""
+    rng = random.Random(8)
+    rows = [("k", f"r{i}", [f"c{j}" for j in range(9)] + [f"u{rng.randrange(40)}" for _ in range(2)]) for i in range(420)]
+    assert run(spark, rows) == brute(rows)
+
+
+@pytest.mark.parametrize("t", [0.3, 0.5, 0.6, 0.8, 1.0])
+def test_recall_at_any_threshold(spark, t):
+    """Planted pairs just at the threshold, all else disjoint."""
+    n, rows = 400, []
+    for i in range(n):
+        size = {0.3: (6, 7, 7), 0.5: (8, 4, 4), 0.6: (6, 2, 2), 0.8: (8, 1, 1), 1.0: (6, 0, 0)}[t]
+        common = [f"p{i}c{j}" for j in range(size[0])]
+        rows += [("k", f"a{i}", common + [f"p{i}a{j}" for j in range(size[1])]), ("k", f"b{i}", common + [f"p{i}b{j}" for j in range(size[2])])]
+    df = spark.createDataFrame([(*r, "c", 1, "s") for r in rows], SCHEMA)
+    got = {(r.id_a, r.id_b) for r in similar_sets(df, t).collect()}
+    assert got <= {(f"a{i}", f"b{i}") for i in range(n)} and len(got) >= 0.99 * n
+    bands, per = setjoin.bands_for(t)
+    assert (1 - t**per) ** bands <= setjoin.MISS
+
+
+def test_parts_of_large_classes(spark, monkeypatch):
+    monkeypatch.setattr(setjoin, "PART", 7)
+    rows = [("k", f"x{i}", list("abcde")) for i in range(40)] + [("k", f"y{i}", list("abcd")) for i in range(25)] + [("k", "z", list("vwxyz"))]
+    assert run(spark, rows) == brute(rows)
+    found = setjoin.similar_classes(spark.createDataFrame([(*r, "c", 1, "s") for r in rows], SCHEMA))
+    assert found.pairs.count() == 1 and found.members.count() == 66 and found.classes.count() == 3
+
+
+def test_threshold_must_be_a_share(spark):
+    for t in (0, -1, 1.5):
+        with pytest.raises(ValueError, match="threshold"):
+            similar_sets(spark.createDataFrame([], SCHEMA), t)
 
 
 def test_copies_are_one_class(spark):
