@@ -1,28 +1,34 @@
-"""Subject areas of documents by label propagation over a similarity graph.
-
-Nodes are sentences; two are linked when they share terms.  The links of a
-term's sentences would be all pairs among them, so the graph is kept in its
-factored form, sentence - term - sentence, and a step of propagation is two
-joins: labels flow from sentences to their terms, and from terms back to
-sentences.  A term passes on the distribution of the labels of its sentences.
-
-A link is verified before a label may cross it: one shared term proves
-nothing, since a subject's word may be merely mentioned.  A sentence takes a
-subject only with the joint support of its two strongest independent terms
-(their geometric mean, so that a word of several subjects counts beside a
-clear one).
-Neighbouring words that nearly always come together (names, compound words)
-are one term in this count.  A sentence most of whose words point to one
-subject is accepted as a whole: set phrases are one long compound.
-
-Labels given by readers stay clamped: they keep the larger part of their
-sentences' distribution in every round.  A reader labels a document, not a
-sentence, so each subject of a labelled document goes to its best-supported
-sentence in each round; the others may keep only subjects that the reader
-gave.  A document has the subjects of all its sentences.  What passes for one
-sentence may be a longer stretch of text: beside its best subject it has those
-that two strong terms of their own support, each term counting for the subject
-that it points to most.
+"""Subject areas of documents by label propagation over a verified similarity graph.
+
+A document is about a subject where one of its sentences is, so the graph's
+nodes are sentences, and a document has the subjects of all its sentences.
+
+1. *Content.*  A word belongs to a sentence's content when the readers' labels
+   of the documents that hold it lean towards a subject (``LEAN``).  Content
+   words that nearly always come together (names, compounds) are one term.  A
+   sentence with fewer than two terms proves nothing, since a subject's word
+   may be merely mentioned; it is no node.  A set phrase of ``PHRASE`` words or
+   more that always come together counts word by word.  Sentences with the same
+   content are one node.
+2. *Edges.*  Two nodes are linked when the Jaccard similarity of their content
+   is at least ``SIMILAR``.  Candidates come from banded minwise hashing, every
+   edge is verified exactly (``setjoin``), no partner is dropped.
+3. *Propagation.*  Each round joins the edges with the subjects of their
+   sources and averages them, by similarity, at their targets.  Readers' labels
+   stay clamped: a labelled node keeps a share of its votes that grows with
+   their number.  A reader labels a document, not a sentence, so each subject of
+   a labelled document goes to the sentence that the graph supports best; the
+   others may take only subjects that the reader gave.  This is judged anew in
+   the first ``JUDGED`` rounds.  Rounds end when the accepted subjects of at most
+   ``SETTLED`` of the nodes change (``rounds`` bounds them).
+4. *Result.*  A node has every subject with at least ``ACCEPT`` of its score; one
+   that joins several subjects, with two terms of its own for each, has those
+   with half of that.
+
+The words that lean are learned from the labels first.  Where labels are few
+they miss much, so the accepted sentences are taken as weak labels and the
+steps are repeated until the words stay nearly the same (``SAME``), at most
+``PASSES`` times.
 """
 
 from __future__ import annotations
@@ -31,28 +37,30 @@ import unicodedata
 
 import pyarrow as pa
 import regex
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tessera.llm.setjoin import similar_classes
 from tessera.sources.ship import ship
 from tessera.sources.tables import drop, stage
 
-#: Words in more than this share of all sentences say nothing about subjects.
-COMMON = 0.1
-#: Neighbours of which the rarer comes with the other in more than this share of its sentences are one term.
-COMPOUND = 0.6
-#: Rounds, weight of the prior, least support of a strong term, support from which a round takes a subject.
-ROUNDS, PRIOR, FLOOR, CUT = 4, 1.0, 0.12, 0.32
-#: Support from which a subject belongs to the result.
+#: Smoothed share of a word's labels that leans towards a subject, and the weight of what is expected of any word.
+LEAN, PRIOR = 0.3, 2.0
+#: Content words at most so far apart that come together in more than this share of the rarer one's sentences are one term; words of a set phrase.
+NEAR, TOGETHER, PHRASE = 2, 0.6, 5
+#: Similarity of linked nodes.
+SIMILAR = 1 / 3
+#: Share of its votes that a labelled node keeps at most, votes at which it keeps half of that.
+CLAMP, HALF = 0.8, 1.5
+#: Rounds that judge anew which sentence a label belongs to; score from which a sentence takes a label beside the best one.
+JUDGED, TAKES = 3, 0.3
+#: Score from which a subject belongs to the result.
 ACCEPT = 0.4
-#: Weight of an unlabelled sentence's own guess; share of a clamped label that stays.
-GUESS, CLAMP = 0.1, 0.8
-#: A sentence that so many labelled documents hold is a term of its own, for subjects with this share of their votes.
-REPEATED, MAJORITY = 2, 0.5
-#: A whole phrase: at least so many words of one subject, and this share of all its words.
-PHRASE, PHRASE_SHARE = 4, 0.5
+#: Share of nodes whose accepted subjects may still change at the end; rounds at most.
+SETTLED, ROUNDS = 0.001, 40
+#: Passes at most, likeness of the words of two passes that ends them, weight of an accepted sentence as a label, prior of a subject then.
+PASSES, SAME, GUESS, RARE = 4, 0.9, 0.15, 0.05
 
 _SALTS = 8
 _SENTENCE = regex.compile(r"[^.!?…。！？]+")
@@ -78,109 +86,130 @@ def _split(texts: pa.Array) -> pa.Array:
     return pa.array([sentences_of(t) if t else [] for t in texts.to_pylist()], pa.list_(pa.string()))
 
 
+def _salts() -> Column:
+    return F.explode(F.array(*[F.lit(i) for i in range(_SALTS)]))
 
-def graph(documents: DataFrame, key: str, text: str) -> tuple[DataFrame, DataFrame]:
-    """(doc_id, sid) and (sid, words, n_words), both staged.
 
-    ``words`` are structs (word, run); ``run`` numbers the independent terms
-    of a sentence.  Sentences and words are known by 64-bit hashes, and a
-    sentence is one row, which is joined as a whole and taken apart after.
+def _salt(key: str) -> Column:
+    return F.pmod(F.xxhash64(key), F.lit(_SALTS)).cast("int")
+
+
+def said_by(documents: DataFrame, key: str, text: str) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, sid) and (sid, words), both staged: who says which sentence, and each sentence once.
+
+    Sentences are known by 128-bit hashes, words by 64-bit ones.
     """
     ship()
     split = F.arrow_udf(_split, T.ArrayType(T.StringType()))
-    said = documents.select(F.col(key).alias("doc_id"), F.explode(split(F.col(text))).alias("sentence")).select("doc_id", F.xxhash64("sentence").alias("sid"), "sentence")
-    said = stage(said, "said")
-    of_docs = said.select("doc_id", "sid").distinct()
-    unlike = said.select("sid", "sentence").distinct()
-    n = unlike.count()
-    words = unlike.select("sid", F.transform(F.split("sentence", " "), lambda w: F.xxhash64(w)).alias("words"))
-    often = stage(words.select(F.explode("words").alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n")), "often")
-    # at most (words a sentence) / COMMON of them, whatever the corpus
-    common = [r.word for r in often.filter(F.col("n") > COMMON * n).select("word").collect()]
-    content = F.filter("words", lambda w: ~w.isin(common)) if common else F.col("words")
-    lean = words.select("sid", content.alias("words")).select("sid", "words", F.size("words").alias("n_words"))
-    at = lean.select("sid", "n_words", "words", F.posexplode("words").alias("pos", "word"))
-    at = stage(at.select("sid", "n_words", "pos", "word", F.when(F.col("pos") > 0, F.element_at("words", F.greatest("pos", F.lit(1)))).alias("left")), "at")
-    pairs = at.filter("left IS NOT NULL").groupBy("left", "word").agg(F.count(F.lit(1)).alias("both"))
-    rarer = F.least("n_left", "n_word")
-    glued = (
-        pairs.join(often.select(F.col("word").alias("left"), F.col("n").alias("n_left")), "left")
-        .join(often.select("word", F.col("n").alias("n_word")), "word")
-        .filter((F.col("both") > 1) & (F.col("both") > COMPOUND * rarer))
-        .select("left", "word", F.lit(0).alias("new"))
-    )
-    glued = stage(glued, "glued")  # written, so that the planner knows how small it is
-    run = F.sum(F.coalesce("new", F.lit(1))).over(Window.partitionBy("sid").orderBy("pos"))
-    links = at.join(glued, ["left", "word"], "left").join(often.filter("n > 1").select("word"), "word", "left_semi").select("sid", "word", run.alias("run"), "n_words")
-    links = links.groupBy("sid").agg(F.collect_list(F.struct("word", F.col("run").cast("int").alias("run"))).alias("words"), F.first("n_words").alias("n_words"))
-    of_docs, links = stage(of_docs, "of"), stage(links, "links")
-    drop(said, often, at, glued)
-    return of_docs, links
-
-
-def support(links: DataFrame, marks: DataFrame, subjects: list[str]) -> DataFrame:
-    """(sid, subject, score, own): one step from sentences to terms and back, verified.
-
-    ``own`` is the joint support of the terms that point to no other subject more.
-    ``marks`` has sid, p (array: the distribution over no subject and
-    ``subjects``) and weight.
+    rows = documents.select(F.col(key).alias("doc_id"), F.explode(split(F.col(text))).alias("sentence"))
+    rows = stage(rows.select("doc_id", F.unhex(F.md5("sentence")).alias("sid"), F.transform(F.split("sentence", " "), lambda w: F.xxhash64(w)).alias("words")), "rows")
+    said, sentences = stage(rows.select("doc_id", "sid").distinct(), "said"), stage(rows.dropDuplicates(["sid"]).select("sid", "words"), "sentences")
+    drop(rows)
+    return said, sentences
+
+
+def leaning(labels: DataFrame, k: int) -> DataFrame:
+    """(word, best): the words that lean towards a subject, staged.
+
+    ``labels`` has words, weight, y (array<double>: how much of the weight each
+    of the ``k`` subjects has) and prior (array<double>, the same in all rows).
+    """
+    sums = [F.sum(F.col("y")[i]).alias(f"y{i}") for i in range(k)]
+    priors = [F.max(F.col("prior")[i]).alias(f"p{i}") for i in range(k)]
+    heard = labels.select(F.explode("words").alias("word"), "weight", "y", "prior").groupBy("word").agg(F.sum("weight").alias("n"), *sums, *priors)
+    shares = F.array(*[F.struct(((F.col(f"y{i}") + PRIOR * F.col(f"p{i}")) / (F.col("n") + PRIOR)).alias("share"), F.lit(-i).alias("i")) for i in range(k)])
+    top = heard.select("word", F.array_max(shares).alias("top")).filter(F.col("top.share") >= LEAN)
+    return stage(top.select("word", (-F.col("top.i")).alias("best")), "leaning")
+
+
+def contents(sentences: DataFrame, words: DataFrame) -> DataFrame:
+    """(sid, items, own): the content of the sentences that have two terms or a set phrase.
+
+    ``own`` lists the subjects that two terms or more lean to, where there are
+    several.  A word may be in a third of all sentences: its sentences are
+    spread over salts.
     """
-    k = len(subjects)
-    prior = 0.15 / k
-    sums = [F.sum(F.col("p")[i + 1] * F.col("weight")).alias(f"s{i}") for i in range(k)]
-    heard = links.select("sid", "words.word").join(marks, "sid").select(F.explode("word").alias("word"), "p", "weight")
-    terms = heard.groupBy("word").agg(F.sum("weight").alias("w"), *sums)
-    share = F.array(*[F.struct(F.lit(s).alias("subject"), ((F.col(f"s{i}") + PRIOR * prior) / (F.col("w") + PRIOR)).alias("a")) for i, s in enumerate(subjects)])
-    strong = stage(terms.select("word", F.explode(share).alias("x")).select("word", "x.subject", "x.a").filter(F.col("a") >= FLOOR), "strong")
-    said = links.select("sid", "n_words", F.inline("words"))
-    runs = said.join(strong, "word").repartition("sid").groupBy("sid", "subject", "run").agg(F.max("a").alias("top"), F.collect_list("a").alias("all"), F.first("n_words").alias("n_words"))
-    most = F.row_number().over(Window.partitionBy("sid", "run").orderBy(F.col("top").desc(), "subject"))
-    both = runs.withColumn("most", most).groupBy("sid", "subject").agg(
-        F.sort_array(F.collect_list(F.when(F.col("most") == 1, F.col("top"))), asc=False).alias("mine"),
-        F.sort_array(F.collect_list("top"), asc=False).alias("tops"), F.sort_array(F.flatten(F.collect_list("all")), asc=False).alias("all"), F.first("n_words").alias("n_words")
-    )
-    firm = F.size(F.filter("all", lambda a: a >= CUT))
-    phrase = F.when((firm >= PHRASE) & (firm >= PHRASE_SHARE * F.col("n_words")), F.get("all", F.lit(PHRASE - 1)))
-    pair = lambda tops: F.coalesce(F.sqrt(F.get(tops, F.lit(0)) * F.get(tops, F.lit(1))), F.lit(0.0))
-    linked = both.select("sid", "subject", F.greatest(pair("tops"), F.coalesce(phrase, F.lit(0.0))).alias("score"), pair("mine").alias("own"))
-    alike = F.explode(F.array(*[F.struct(F.lit(s).alias("subject"), (F.col("p")[i + 1] * F.col("weight") / (F.col("weight") + PRIOR)).alias("score")) for i, s in enumerate(subjects)]))
-    repeated = marks.filter(F.col("weight") >= REPEATED).select("sid", alike.alias("x")).select("sid", "x.subject", "x.score", F.lit(0.0).alias("own")).filter(F.col("score") >= MAJORITY)
-    return linked.unionByName(repeated).groupBy("sid", "subject").agg(F.max("score").alias("score"), F.max("own").alias("own")).filter("score > 0")
-
-
-def held(scores: DataFrame, least: float) -> DataFrame:
-    """(sid, subject, score): the best subject of each sentence from ``least``, and others with terms of their own from ``ACCEPT``."""
-    nth = F.row_number().over(Window.partitionBy("sid").orderBy(F.col("score").desc(), "subject"))
-    return scores.filter(F.col("score") >= least).withColumn("nth", nth).filter((F.col("nth") == 1) | (F.col("own") >= ACCEPT)).select("sid", "subject", "score")
-
-
-def _votes(given: DataFrame, scores: DataFrame | None, subjects: list[str]) -> DataFrame:
-    """(sid, votes, v): for each sentence of labelled documents, its documents' votes over the distribution.
-
-    ``given`` has doc_id, sid, n_sentences, labels.
+    each = sentences.select("sid", F.posexplode("words").alias("pos", "word")).withColumn("salt", _salt("sid"))
+    order = Window.partitionBy("sid").orderBy("pos")
+    kept = each.join(words.withColumn("salt", _salts()), ["word", "salt"]).select("sid", "pos", "word", "best")
+    last = F.struct("word", "pos")
+    kept = kept.withColumn("last", F.lag(last).over(order)).withColumn("left", F.when(F.col("pos") - F.col("last.pos") <= NEAR, F.col("last.word"))).drop("last")
+    kept = stage(kept, "kept")
+    often = kept.groupBy("word").agg(F.count(F.lit(1)).alias("n"))
+    pairs = kept.filter("left IS NOT NULL").groupBy("left", "word").agg(F.count(F.lit(1)).alias("both")).filter("both > 1")
+    pairs = pairs.join(often, "word").join(often.select(F.col("word").alias("left"), F.col("n").alias("n_left")), "left")
+    glued = stage(pairs.filter(F.col("both") > TOGETHER * F.least("n", "n_left")).select("left", "word", F.lit(0).alias("new")), "glued")
+    spread = kept.withColumn("salt", _salt("sid")).join(glued.withColumn("salt", _salts()), ["left", "word", "salt"], "left")
+    runs = spread.withColumn("run", F.sum(F.coalesce("new", F.lit(1))).over(order)).groupBy("sid", "run").agg(F.sort_array(F.collect_list(F.struct("pos", "word"))).alias("ws"), F.min_by("best", "pos").alias("best"))
+    long = F.size("ws") >= PHRASE
+    names = F.transform("ws", lambda w: w["word"].cast("string"))
+    terms = runs.select("sid", "best", long.alias("long"), F.when(long, names).otherwise(F.array(F.array_join(names, "_"))).alias("terms"))
+    whole = terms.groupBy("sid").agg(F.count(F.lit(1)).alias("n"), F.max("long").alias("long"), F.flatten(F.collect_list("terms")).alias("items"), F.sort_array(F.collect_list("best")).alias("bests"))
+    twice = F.array_distinct(F.filter("bests", lambda b: F.size(F.filter("bests", lambda c: c == b)) > 1))
+    found = whole.filter("n > 1 OR long").select("sid", "items", F.when(F.size(twice) > 1, twice).otherwise(F.array().cast("array<int>")).alias("own"))
+    return stage(found, "contents")
+
+
+def _votes(given: DataFrame, scores: DataFrame | None, k: int) -> DataFrame:
+    """(cls, votes, v0...): for each node of labelled documents its votes for each subject.
+
+    ``given`` has doc_id, cls and labels, one row for each node that a labelled
+    document holds; ``scores`` has cls and f (array of scores).
     """
-    pairs = given.withColumn("label", F.explode_outer("labels"))
+    each = given.withColumn("label", F.explode_outer("labels")).withColumn("part", 1 / F.greatest(F.size("labels"), F.lit(1)))
     if scores is None:
-        alone = (F.col("n_sentences") == 1) & (F.size("labels") == 1)
-        mass = F.when(F.col("label").isNull(), 0.0).when(alone, 1.0).otherwise(0.6 / F.size("labels"))
-        chosen = pairs.withColumn("mass", mass)
+        of = Window.partitionBy("doc_id", "label")
+        alone = (F.count(F.lit(1)).over(of) == 1) & (F.size("labels") == 1)
+        each = each.withColumn("mass", F.when(F.col("label").isNull(), 0.0).when(alone, 1.0).otherwise(0.6 * F.col("part")))
     else:
-        scored = pairs.join(scores.select("sid", F.col("subject").alias("label"), "score"), ["sid", "label"], "left").withColumn("score", F.coalesce("score", F.lit(0.0)))
-        best = F.row_number().over(Window.partitionBy("doc_id", "label").orderBy(F.col("score").desc(), "sid"))
-        mine = F.row_number().over(Window.partitionBy("doc_id", "sid").orderBy(F.col("score").desc(), "label"))
-        scored = scored.withColumn("best", best).withColumn("mine", mine)
-        takes = F.col("label").isNotNull() & ((F.col("best") == 1) | ((F.col("mine") == 1) & (F.col("score") >= CUT)))
-        chosen = scored.withColumn("mass", F.when(takes, 1.0).otherwise(0.0))
-    per = chosen.groupBy("doc_id", "sid").agg(*[F.sum(F.when(F.col("label") == s, F.col("mass")).otherwise(0.0)).alias(f"m{i}") for i, s in enumerate(subjects)])
-    whole = sum((F.col(f"m{i}") for i in range(len(subjects))), F.lit(0.0))
-    scale = F.greatest(whole, F.lit(1.0))
-    per = per.select("sid", (1 - F.least(whole, F.lit(1.0))).alias("m"), *[(F.col(f"m{i}") / scale).alias(f"m{i}") for i in range(len(subjects))])
-    names = ["m", *[f"m{i}" for i in range(len(subjects))]]
-    votes = per.groupBy("sid").agg(F.count(F.lit(1)).cast("double").alias("votes"), *[F.avg(x).alias(x) for x in names])
-    return votes.select("sid", "votes", F.array(*names).alias("v"))
-
-
-def subject_areas(documents: DataFrame, labels: DataFrame, areas: DataFrame, key: str = "doc_id", text: str = "text", rounds: int = ROUNDS) -> DataFrame:
+        seeds = given.select("cls").distinct()
+        of_seeds = scores.join(seeds, "cls", "left_semi").select("cls", "f").withColumn("salt", _salts())
+        each = each.withColumn("salt", _salt("doc_id")).join(of_seeds, ["cls", "salt"], "left").withColumn("score", F.coalesce(F.get("f", F.col("label")), F.lit(0.0)))
+        best = F.row_number().over(Window.partitionBy("doc_id", "label").orderBy(F.col("score").desc(), "cls")) == 1
+        strong = (F.col("score") > TAKES) & (F.col("score") == F.array_max("f"))
+        each = each.withColumn("mass", F.when(F.col("label").isNotNull() & (best | strong), 1.0).otherwise(0.0))
+    return each.groupBy("cls").agg(F.sum("part").alias("votes"), *[F.sum(F.when(F.col("label") == i, F.col("mass")).otherwise(0.0)).alias(f"v{i}") for i in range(k)])
+
+
+def _accepted(own: Column, f: Column) -> Column:
+    """array<int>: the subjects of a node."""
+    with_i = F.transform(f, lambda x, i: F.struct(i.alias("i"), x.alias("x")))
+    return F.transform(F.filter(with_i, lambda s: (s["x"] >= ACCEPT) | (F.array_contains(own, s["i"]) & (s["x"] >= ACCEPT / 2))), lambda s: s["i"])
+
+
+def propagated(nodes: DataFrame, edges: DataFrame, given: DataFrame, k: int, rounds: int = ROUNDS) -> DataFrame:
+    """(cls, f, accepted): scores of the k subjects and the accepted ones, of each node that labels reach; staged.
+
+    ``nodes`` has cls and own, ``edges`` cls (target), from (source) and similarity in both directions.
+    """
+    zero = [F.lit(0.0)] * k
+    state, clamps = None, None
+    for r in range(rounds):
+        if r <= JUDGED:
+            before, clamps = clamps, stage(_votes(given, state, k), "clamps")
+            drop(before)
+        if state is None:
+            state = stage(clamps.select("cls", F.array(*[F.col(f"v{i}") / F.col("votes") for i in range(k)]).alias("f"), F.array().cast("array<int>").alias("accepted")), "state")
+        told = edges.join(state.select(F.col("cls").alias("from"), "f"), "from")
+        heard = told.groupBy("cls").agg(F.sum("similarity").alias("s"), *[F.sum(F.col("similarity") * F.col("f")[i]).alias(f"h{i}") for i in range(k)])
+        kept = F.when(F.col("s").isNull(), 1.0).otherwise(CLAMP * F.col("votes") / (F.col("votes") + HALF))
+        f = [
+            F.when(F.col("votes").isNull(), F.col(f"h{i}") / F.col("s")).otherwise(kept * F.col(f"v{i}") / F.col("votes") + (1 - kept) * F.coalesce(F.col(f"h{i}") / F.col("s"), z))
+            for i, z in enumerate(zero)
+        ]
+        both = nodes.join(heard, "cls", "left").join(clamps, "cls", "left").filter("s IS NOT NULL OR votes IS NOT NULL").select("cls", "own", F.array(*f).alias("f"))
+        both = both.join(state.select("cls", F.col("accepted").alias("was")), "cls", "left").withColumn("accepted", _accepted(F.col("own"), F.col("f")))
+        new = stage(both.select("cls", "f", "accepted", (~F.col("accepted").eqNullSafe(F.coalesce("was", F.array().cast("array<int>")))).alias("changed")), "state")
+        drop(state)
+        state = new
+        n, changed = state.agg(F.count(F.lit(1)), F.count_if("changed")).first()
+        if r > JUDGED and changed <= SETTLED * n:
+            break
+    drop(clamps)
+    return state
+
+
+def subject_areas(documents: DataFrame, labels: DataFrame, areas: DataFrame, key: str = "doc_id", text: str = "text", rounds: int = ROUNDS, passes: int = PASSES) -> DataFrame:
     """(doc_id, subject, score): the subjects of each document.
 
     ``labels`` has ``key`` and subject (null: the reader found none); subjects
@@ -191,40 +220,62 @@ def subject_areas(documents: DataFrame, labels: DataFrame, areas: DataFrame, key
     * Several readers' subjects of one document are all kept; repeated labels
       count once.  Labels of unknown documents are ignored.
     * Rows with the same key are one document.  Other columns are ignored.
-    * Equally supported subjects of a sentence: the first by name.
+    * A sentence may have several subjects; equally supported ones are all kept
+      or all left out.
     """
     subjects = sorted(r.subject for r in areas.filter("subject IS NOT NULL").select("subject").distinct().collect())  # the fixed list of areas
-    spark = documents.sparkSession
+    spark, k = documents.sparkSession, len(subjects)
+    nothing = T.StructType([T.StructField("doc_id", documents.schema[key].dataType), T.StructField("subject", T.StringType()), T.StructField("score", T.DoubleType())])
     if not subjects:
-        return spark.createDataFrame([], T.StructType([T.StructField("doc_id", documents.schema[key].dataType), T.StructField("subject", T.StringType()), T.StructField("score", T.DoubleType())]))
-    of_docs, links = graph(documents, key, text)
-    read = labels.select(F.col(key).alias("doc_id"), F.when(F.col("subject").isin(subjects), F.col("subject")).alias("subject")).groupBy("doc_id").agg(F.sort_array(F.collect_set("subject")).alias("labels"))
-    mine = of_docs.join(read, "doc_id")
-    sizes = mine.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_sentences"))
-    given = stage(mine.join(sizes, "doc_id"), "given")
-    # every round joins and groups by sentence: partitioned by it once, lost parts are read from the staged table again
-    links = links.repartition("sid").persist(StorageLevel.DISK_ONLY)
-    everyone = of_docs.select("sid").distinct()
-
-    scores = None
-    for i in range(rounds):
-        votes = _votes(given, scores, subjects)
-        if scores is None:
-            marks = votes.select("sid", F.col("v").alias("p"), F.col("votes").alias("weight"))
-        else:
-            top = held(scores, CUT).groupBy("sid").agg(F.collect_list("subject").alias("held"))
-            own = F.array(F.when(F.col("held").isNull(), 1.0).otherwise(0.0), *[F.when(F.array_contains("held", s), 1 / F.size("held")).otherwise(0.0) for s in subjects])
-            both = everyone.join(top, "sid", "left").withColumn("own", own).join(votes, "sid", "left")
-            kept = F.zip_with("v", "own", lambda v, o: CLAMP * v + (1 - CLAMP) * o)
-            marks = both.select("sid", F.when(F.col("v").isNull(), F.col("own")).otherwise(kept).alias("p"), F.coalesce("votes", F.lit(GUESS)).alias("weight"))
-        before, scores = scores, stage(support(links, marks, subjects), f"round{i}")
-        drop(before)
-    links.unpersist()
-    taken = held(scores, ACCEPT)
+        return spark.createDataFrame([], nothing)
+    said, sentences = said_by(documents, key, text)
+    index = F.create_map(*[x for i, s in enumerate(subjects) for x in (F.lit(s), F.lit(i))])
+    read = labels.select(F.col(key).alias("doc_id"), F.when(F.col("subject").isin(subjects), index[F.col("subject")]).alias("i"))
+    read = stage(read.groupBy("doc_id").agg(F.sort_array(F.collect_set("i")).alias("labels")), "read")
+    marked = stage(said.withColumn("salt", _salt("doc_id")).join(read, "doc_id").select("sid", "salt", "doc_id", "labels"), "marked")
+    counts = read.join(marked.select("doc_id").distinct(), "doc_id", "left_semi").select(*[F.avg(F.array_contains("labels", i).cast("double")) for i in range(k)]).first()
+    if not any(counts):
+        return spark.createDataFrame([], nothing)
+    shares = lambda of: F.array(*[F.array_contains(of, i).cast("double") for i in range(k)])
+    fixed = lambda values: F.array(*[F.lit(float(x)) for x in values])
+    salted = sentences.withColumn("salt", _salts())
+    words = leaning(marked.join(salted, ["sid", "salt"]).select("words", F.lit(1.0).alias("weight"), shares(F.col("labels")).alias("y"), fixed(counts).alias("prior")), k)
+
+    for done in range(1, passes + 1):
+        found = contents(sentences, words)
+        graph = similar_classes(found.select(F.lit("s").alias("set_name"), F.col("sid").alias("id"), "items"), SIMILAR, 2)
+        of = stage(graph.members.select(F.col("id").alias("sid"), "cls").join(found.select("sid", "own"), "sid"), "of")
+        nodes = stage(of.groupBy("cls").agg(F.first("own").alias("own")), "nodes")
+        pairs = stage(graph.pairs, "pairs")
+        edges = stage(pairs.select(F.col("cls_a").alias("cls"), F.col("cls_b").alias("from"), "similarity").unionAll(pairs.select(F.col("cls_b").alias("cls"), F.col("cls_a").alias("from"), "similarity")), "edges")
+        # a third of the documents may hold one sentence: its documents are spread over the salts
+        given = stage(marked.join(of.select("sid", "cls").withColumn("salt", _salts()), ["sid", "salt"]).select("doc_id", "cls", "labels"), "given")
+        state = propagated(nodes, edges, given, k, rounds)
+        drop(found, nodes, pairs, edges, given)
+        judged = stage(of.join(state.select("cls", "f", "accepted"), "cls").filter(F.size("accepted") > 0).select("sid", "f", "accepted"), "judged")
+        drop(of, state)
+        if done == passes:
+            break
+        # sentences of labelled documents take only the reader's subjects, and those of which no sentence was accepted
+        mine = marked.join(judged.select("sid", "accepted").withColumn("salt", _salts()), ["sid", "salt"], "left").withColumn("accepted", F.coalesce("accepted", F.array().cast("array<int>")))
+        open_ = mine.groupBy("doc_id").agg(F.array_distinct(F.flatten(F.collect_list("accepted"))).alias("met"))  # as long as the document
+        mine = mine.join(open_, "doc_id").select("sid", "salt", F.when(F.size("accepted") > 0, F.array_intersect("accepted", "labels")).otherwise(F.array_except("labels", "met")).alias("of"))
+        firm = mine.join(salted, ["sid", "salt"]).select("words", F.lit(1.0).alias("weight"), shares(F.col("of")).alias("y"))
+        weak = sentences.join(marked.select("sid").distinct(), "sid", "left_anti").join(judged.select("sid", "accepted"), "sid", "left")
+        weak = weak.select("words", F.lit(GUESS).alias("weight"), F.transform(shares(F.coalesce("accepted", F.array().cast("array<int>"))), lambda x: x * GUESS).alias("y"))
+        more = leaning(firm.unionByName(weak).withColumn("prior", fixed([RARE] * k)), k)
+        both, either = more.join(words.select("word"), "word").count(), more.select("word").union(words.select("word")).distinct().count()
+        if both >= SAME * either:
+            drop(more)
+            break
+        drop(words, judged)
+        words = more
+    drop(words, marked, read)
     # a third of the documents may hold one sentence: its documents are spread over the salts
-    salts = F.explode(F.array(*[F.lit(i) for i in range(_SALTS)]))
-    spread = of_docs.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(_SALTS)).cast("int"))
-    return spread.join(taken.withColumn("salt", salts), ["sid", "salt"]).groupBy("doc_id", "subject").agg(F.max("score").alias("score"))
+    name = F.create_map(*[x for i, s in enumerate(subjects) for x in (F.lit(i), F.lit(s))])
+    taken = judged.select("sid", F.explode("accepted").alias("i"), "f").select("sid", name[F.col("i")].alias("subject"), F.get("f", F.col("i")).alias("score"))
+    spread = said.withColumn("salt", _salt("doc_id"))
+    return spread.join(taken.withColumn("salt", _salts()), ["sid", "salt"]).groupBy("doc_id", "subject").agg(F.max("score").alias("score"))
 
 
 def composition(found: DataFrame, areas: DataFrame) -> DataFrame:

@@ -1,6 +1,8 @@
 import random
 
-from tessera.llm.subjects import composition, plain, sentences_of, subject_areas
+from tessera.llm import subjects
+from tessera.llm.setjoin import similar_classes
+from tessera.llm.subjects import SIMILAR, composition, plain, sentences_of, subject_areas
 
 DOC = "doc_id bigint, text string, word string, sid string, score double"
 LABEL = "doc_id bigint, subject string, reader string, labels string"
@@ -72,6 +74,20 @@ def test_stretch_without_sentence_ends_keeps_its_subjects(spark):
     assert sum(got.get(i) == w for i, w in want.items()) >= 27
 
 
+def test_edges_are_verified_and_labels_cross_nothing_else(spark, monkeypatch):
+    kept = {}
+    real = subjects.propagated
+    monkeypatch.setattr(subjects, "propagated", lambda nodes, edges, given, k, rounds: kept.update(nodes=nodes.collect(), edges=edges.collect()) or real(nodes, edges, given, k, rounds))
+    made = []
+    monkeypatch.setattr(subjects, "similar_classes", lambda sets, t, n: made.append(sets.collect()) or similar_classes(sets, t, n))
+    docs, _, labels = corpus(300)
+    subject_areas(spark.createDataFrame(docs, DOC), spark.createDataFrame(labels, LABEL), areas(spark), passes=1).count()
+    items = {frozenset(r["items"]) for r in made[0]}
+    want = sum(len(a & b) >= SIMILAR * len(a | b) - 1e-12 for a in items for b in items if a != b)
+    assert len(kept["nodes"]) == len(items) and len(kept["edges"]) == want > 0
+    assert all(e.similarity >= SIMILAR for e in kept["edges"])
+
+
 def test_no_labels_no_areas_no_documents(spark):
     docs, _, labels = corpus(20)
     df, given = spark.createDataFrame(docs, DOC), spark.createDataFrame(labels, LABEL)
