@@ -34,6 +34,7 @@ steps are repeated until the words stay nearly the same (``SAME``), at most
 from __future__ import annotations
 
 import unicodedata
+from collections import Counter
 
 import pyarrow as pa
 import regex
@@ -42,6 +43,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tessera.llm.setjoin import similar_classes
+from tessera.operators.skew import SHARE, hot_keys, salt_of, salts_of, spread_join
 from tessera.sources.ship import ship
 from tessera.sources.tables import drop, stage
 
@@ -54,15 +56,14 @@ SIMILAR = 1 / 3
 #: Share of its votes that a labelled node keeps at most, votes at which it keeps half of that.
 CLAMP, HALF = 0.8, 1.5
 #: Rounds that judge anew which sentence a label belongs to; score from which a sentence takes a label beside the best one.
-JUDGED, TAKES = 3, 0.3
+JUDGED, TAKES = 2, 0.3
 #: Score from which a subject belongs to the result.
 ACCEPT = 0.4
 #: Share of nodes whose accepted subjects may still change at the end; rounds at most.
-SETTLED, ROUNDS = 0.001, 40
+SETTLED, ROUNDS = 0.005, 40
 #: Passes at most, likeness of the words of two passes that ends them, weight of an accepted sentence as a label, prior of a subject then.
 PASSES, SAME, GUESS, RARE = 4, 0.9, 0.15, 0.05
 
-_SALTS = 8
 _SENTENCE = regex.compile(r"[^.!?…。！？]+")
 _WORD = regex.compile(r"\p{L}+")
 
@@ -86,30 +87,20 @@ def _split(texts: pa.Array) -> pa.Array:
     return pa.array([sentences_of(t) if t else [] for t in texts.to_pylist()], pa.list_(pa.string()))
 
 
-def _salts() -> Column:
-    return F.explode(F.array(*[F.lit(i) for i in range(_SALTS)]))
-
-
-def _salt(key: str) -> Column:
-    return F.pmod(F.xxhash64(key), F.lit(_SALTS)).cast("int")
-
-
 def said_by(documents: DataFrame, key: str, text: str) -> tuple[DataFrame, DataFrame]:
-    """(doc_id, sid) and (sid, words), both staged: who says which sentence, and each sentence once.
+    """(doc_id, sid, words) and (sid, words), both staged: who says which sentence, and each sentence once.
 
     Sentences are known by 128-bit hashes, words by 64-bit ones.
     """
     ship()
     split = F.arrow_udf(_split, T.ArrayType(T.StringType()))
     rows = documents.select(F.col(key).alias("doc_id"), F.explode(split(F.col(text))).alias("sentence"))
-    rows = stage(rows.select("doc_id", F.unhex(F.md5("sentence")).alias("sid"), F.transform(F.split("sentence", " "), lambda w: F.xxhash64(w)).alias("words")), "rows")
-    said, sentences = stage(rows.select("doc_id", "sid").distinct(), "said"), stage(rows.dropDuplicates(["sid"]).select("sid", "words"), "sentences")
-    drop(rows)
-    return said, sentences
+    said = stage(rows.select("doc_id", F.unhex(F.md5("sentence")).alias("sid"), F.transform(F.split("sentence", " "), lambda w: F.xxhash64(w)).alias("words")), "said")
+    return said, stage(said.select("sid", "words").dropDuplicates(["sid"]), "sentences")
 
 
 def leaning(labels: DataFrame, k: int) -> DataFrame:
-    """(word, best): the words that lean towards a subject, staged.
+    """(word, n, best): the words that lean towards a subject, staged.
 
     ``labels`` has words, weight, y (array<double>: how much of the weight each
     of the ``k`` subjects has) and prior (array<double>, the same in all rows).
@@ -118,43 +109,66 @@ def leaning(labels: DataFrame, k: int) -> DataFrame:
     priors = [F.max(F.col("prior")[i]).alias(f"p{i}") for i in range(k)]
     heard = labels.select(F.explode("words").alias("word"), "weight", "y", "prior").groupBy("word").agg(F.sum("weight").alias("n"), *sums, *priors)
     shares = F.array(*[F.struct(((F.col(f"y{i}") + PRIOR * F.col(f"p{i}")) / (F.col("n") + PRIOR)).alias("share"), F.lit(-i).alias("i")) for i in range(k)])
-    top = heard.select("word", F.array_max(shares).alias("top")).filter(F.col("top.share") >= LEAN)
-    return stage(top.select("word", (-F.col("top.i")).alias("best")), "leaning")
+    top = heard.select("word", "n", F.array_max(shares).alias("top")).filter(F.col("top.share") >= LEAN)
+    return stage(top.select("word", "n", (-F.col("top.i")).alias("best")), "leaning")
+
+
+def _terms(words: list[tuple[int, int, bool]]) -> tuple[list[str], list[int]] | None:
+    """(items, own) of the content words (word, best, glued to the one before) of a sentence; None where they prove nothing."""
+    runs: list[list[int]] = []
+    bests = []
+    for word, best, glued in words:
+        if glued and runs:
+            runs[-1].append(word)
+        else:
+            runs.append([word])
+            bests.append(best)
+    if len(runs) < 2 and len(runs[0]) < PHRASE:
+        return None
+    items = [str(w) for run in runs for w in (run if len(run) >= PHRASE else ["_".join(map(str, run))])]
+    own = sorted(b for b, n in Counter(bests).items() if n > 1)
+    return items, own if len(own) > 1 else []
+
+
+def _composed(contents: pa.Array) -> pa.Array:
+    rows = []
+    for words in contents.to_pylist():
+        found = _terms([(w["word"], w["best"], w["glued"]) for w in sorted(words, key=lambda w: w["pos"])])
+        rows.append({"items": found[0] if found else None, "own": found[1] if found else None})
+    return pa.array(rows, pa.struct([("items", pa.list_(pa.string())), ("own", pa.list_(pa.int32()))]))
 
 
 def contents(sentences: DataFrame, words: DataFrame) -> DataFrame:
     """(sid, items, own): the content of the sentences that have two terms or a set phrase.
 
     ``own`` lists the subjects that two terms or more lean to, where there are
-    several.  A word may be in a third of all sentences: its sentences are
-    spread over salts.
+    several.  A word may be in a third of all sentences: its rows are spread.
     """
-    each = sentences.select("sid", F.posexplode("words").alias("pos", "word")).withColumn("salt", _salt("sid"))
+    each = sentences.select("sid", F.posexplode("words").alias("pos", "word"))
+    n = words.agg(F.sum("n")).first()[0] or 0
+    hot = [r.word for r in words.filter(F.col("n") * SHARE > n).select("word").collect()]  # fewer than SHARE
     order = Window.partitionBy("sid").orderBy("pos")
-    kept = each.join(words.withColumn("salt", _salts()), ["word", "salt"]).select("sid", "pos", "word", "best")
-    last = F.struct("word", "pos")
-    kept = kept.withColumn("last", F.lag(last).over(order)).withColumn("left", F.when(F.col("pos") - F.col("last.pos") <= NEAR, F.col("last.word"))).drop("last")
-    kept = stage(kept, "kept")
+    kept = spread_join(each, words.select("word", "best"), "word", hot, "sid")
+    before = F.lag(F.struct("word", "pos")).over(order)
+    kept = stage(kept.withColumn("last", before).select("sid", "pos", "word", "best", F.when(F.col("pos") - F.col("last.pos") <= NEAR, F.col("last.word")).alias("left")), "kept")
     often = kept.groupBy("word").agg(F.count(F.lit(1)).alias("n"))
     pairs = kept.filter("left IS NOT NULL").groupBy("left", "word").agg(F.count(F.lit(1)).alias("both")).filter("both > 1")
     pairs = pairs.join(often, "word").join(often.select(F.col("word").alias("left"), F.col("n").alias("n_left")), "left")
-    glued = stage(pairs.filter(F.col("both") > TOGETHER * F.least("n", "n_left")).select("left", "word", F.lit(0).alias("new")), "glued")
-    spread = kept.withColumn("salt", _salt("sid")).join(glued.withColumn("salt", _salts()), ["left", "word", "salt"], "left")
-    runs = spread.withColumn("run", F.sum(F.coalesce("new", F.lit(1))).over(order)).groupBy("sid", "run").agg(F.sort_array(F.collect_list(F.struct("pos", "word"))).alias("ws"), F.min_by("best", "pos").alias("best"))
-    long = F.size("ws") >= PHRASE
-    names = F.transform("ws", lambda w: w["word"].cast("string"))
-    terms = runs.select("sid", "best", long.alias("long"), F.when(long, names).otherwise(F.array(F.array_join(names, "_"))).alias("terms"))
-    whole = terms.groupBy("sid").agg(F.count(F.lit(1)).alias("n"), F.max("long").alias("long"), F.flatten(F.collect_list("terms")).alias("items"), F.sort_array(F.collect_list("best")).alias("bests"))
-    twice = F.array_distinct(F.filter("bests", lambda b: F.size(F.filter("bests", lambda c: c == b)) > 1))
-    found = whole.filter("n > 1 OR long").select("sid", "items", F.when(F.size(twice) > 1, twice).otherwise(F.array().cast("array<int>")).alias("own"))
-    return stage(found, "contents")
-
-
-def _votes(given: DataFrame, scores: DataFrame | None, k: int) -> DataFrame:
+    glued = stage(pairs.filter(F.col("both") > TOGETHER * F.least("n", "n_left")).select("left", "word", F.lit(True).alias("glued"), "both"), "glued")
+    hot = [r.word for r in glued.filter(F.col("both") * SHARE > n).select("word").distinct().collect()]  # fewer than SHARE
+    runs = kept.withColumn("_salt", salt_of(F.col("word"), hot, F.col("sid"))).join(glued.drop("both").withColumn("_salt", salts_of(F.col("word"), hot)), ["left", "word", "_salt"], "left")
+    whole = runs.groupBy("sid").agg(F.collect_list(F.struct("pos", "word", "best", F.coalesce("glued", F.lit(False)).alias("glued"))).alias("ws"))
+    ship()
+    composed = F.arrow_udf(_composed, "struct<items: array<string>, own: array<int>>")
+    return stage(whole.select("sid", composed("ws").alias("c")).select("sid", "c.items", "c.own").filter("items IS NOT NULL"), "contents")
+
+
+def _votes(given: DataFrame, scores: DataFrame | None, k: int, hot: list) -> DataFrame:
     """(cls, votes, v0...): for each node of labelled documents its votes for each subject.
 
     ``given`` has doc_id, cls and labels, one row for each node that a labelled
-    document holds; ``scores`` has cls and f (array of scores).
+    document holds; ``scores`` has cls and f (array of scores); ``hot`` are the
+    hot nodes of ``given``.
     """
     each = given.withColumn("label", F.explode_outer("labels")).withColumn("part", 1 / F.greatest(F.size("labels"), F.lit(1)))
     if scores is None:
@@ -162,9 +176,7 @@ def _votes(given: DataFrame, scores: DataFrame | None, k: int) -> DataFrame:
         alone = (F.count(F.lit(1)).over(of) == 1) & (F.size("labels") == 1)
         each = each.withColumn("mass", F.when(F.col("label").isNull(), 0.0).when(alone, 1.0).otherwise(0.6 * F.col("part")))
     else:
-        seeds = given.select("cls").distinct()
-        of_seeds = scores.join(seeds, "cls", "left_semi").select("cls", "f").withColumn("salt", _salts())
-        each = each.withColumn("salt", _salt("doc_id")).join(of_seeds, ["cls", "salt"], "left").withColumn("score", F.coalesce(F.get("f", F.col("label")), F.lit(0.0)))
+        each = spread_join(each, scores.select("cls", "f"), "cls", hot, "doc_id", "left").withColumn("score", F.coalesce(F.get("f", F.col("label")), F.lit(0.0)))
         best = F.row_number().over(Window.partitionBy("doc_id", "label").orderBy(F.col("score").desc(), "cls")) == 1
         strong = (F.col("score") > TAKES) & (F.col("score") == F.array_max("f"))
         each = each.withColumn("mass", F.when(F.col("label").isNotNull() & (best | strong), 1.0).otherwise(0.0))
@@ -183,10 +195,10 @@ def propagated(nodes: DataFrame, edges: DataFrame, given: DataFrame, k: int, rou
     ``nodes`` has cls and own, ``edges`` cls (target), from (source) and similarity in both directions.
     """
     zero = [F.lit(0.0)] * k
-    state, clamps = None, None
+    state, clamps, hot = None, None, hot_keys(given, "cls")
     for r in range(rounds):
         if r <= JUDGED:
-            before, clamps = clamps, stage(_votes(given, state, k), "clamps")
+            before, clamps = clamps, stage(_votes(given, state, k, hot), "clamps")
             drop(before)
         if state is None:
             state = stage(clamps.select("cls", F.array(*[F.col(f"v{i}") / F.col("votes") for i in range(k)]).alias("f"), F.array().cast("array<int>").alias("accepted")), "state")
@@ -232,14 +244,15 @@ def subject_areas(documents: DataFrame, labels: DataFrame, areas: DataFrame, key
     index = F.create_map(*[x for i, s in enumerate(subjects) for x in (F.lit(s), F.lit(i))])
     read = labels.select(F.col(key).alias("doc_id"), F.when(F.col("subject").isin(subjects), index[F.col("subject")]).alias("i"))
     read = stage(read.groupBy("doc_id").agg(F.sort_array(F.collect_set("i")).alias("labels")), "read")
-    marked = stage(said.withColumn("salt", _salt("doc_id")).join(read, "doc_id").select("sid", "salt", "doc_id", "labels"), "marked")
+    marked = stage(said.join(read, "doc_id").dropDuplicates(["doc_id", "sid"]), "marked")
     counts = read.join(marked.select("doc_id").distinct(), "doc_id", "left_semi").select(*[F.avg(F.array_contains("labels", i).cast("double")) for i in range(k)]).first()
     if not any(counts):
         return spark.createDataFrame([], nothing)
+    hot = hot_keys(marked, "sid")
+    none = F.array().cast("array<int>")
     shares = lambda of: F.array(*[F.array_contains(of, i).cast("double") for i in range(k)])
     fixed = lambda values: F.array(*[F.lit(float(x)) for x in values])
-    salted = sentences.withColumn("salt", _salts())
-    words = leaning(marked.join(salted, ["sid", "salt"]).select("words", F.lit(1.0).alias("weight"), shares(F.col("labels")).alias("y"), fixed(counts).alias("prior")), k)
+    words = leaning(marked.select("words", F.lit(1.0).alias("weight"), shares(F.col("labels")).alias("y"), fixed(counts).alias("prior")), k)
 
     for done in range(1, passes + 1):
         found = contents(sentences, words)
@@ -248,8 +261,7 @@ def subject_areas(documents: DataFrame, labels: DataFrame, areas: DataFrame, key
         nodes = stage(of.groupBy("cls").agg(F.first("own").alias("own")), "nodes")
         pairs = stage(graph.pairs, "pairs")
         edges = stage(pairs.select(F.col("cls_a").alias("cls"), F.col("cls_b").alias("from"), "similarity").unionAll(pairs.select(F.col("cls_b").alias("cls"), F.col("cls_a").alias("from"), "similarity")), "edges")
-        # a third of the documents may hold one sentence: its documents are spread over the salts
-        given = stage(marked.join(of.select("sid", "cls").withColumn("salt", _salts()), ["sid", "salt"]).select("doc_id", "cls", "labels"), "given")
+        given = stage(spread_join(marked.select("doc_id", "sid", "labels"), of.select("sid", "cls"), "sid", hot, "doc_id").select("doc_id", "cls", "labels"), "given")
         state = propagated(nodes, edges, given, k, rounds)
         drop(found, nodes, pairs, edges, given)
         judged = stage(of.join(state.select("cls", "f", "accepted"), "cls").filter(F.size("accepted") > 0).select("sid", "f", "accepted"), "judged")
@@ -257,25 +269,27 @@ def subject_areas(documents: DataFrame, labels: DataFrame, areas: DataFrame, key
         if done == passes:
             break
         # sentences of labelled documents take only the reader's subjects, and those of which no sentence was accepted
-        mine = marked.join(judged.select("sid", "accepted").withColumn("salt", _salts()), ["sid", "salt"], "left").withColumn("accepted", F.coalesce("accepted", F.array().cast("array<int>")))
-        open_ = mine.groupBy("doc_id").agg(F.array_distinct(F.flatten(F.collect_list("accepted"))).alias("met"))  # as long as the document
-        mine = mine.join(open_, "doc_id").select("sid", "salt", F.when(F.size("accepted") > 0, F.array_intersect("accepted", "labels")).otherwise(F.array_except("labels", "met")).alias("of"))
-        firm = mine.join(salted, ["sid", "salt"]).select("words", F.lit(1.0).alias("weight"), shares(F.col("of")).alias("y"))
-        weak = sentences.join(marked.select("sid").distinct(), "sid", "left_anti").join(judged.select("sid", "accepted"), "sid", "left")
-        weak = weak.select("words", F.lit(GUESS).alias("weight"), F.transform(shares(F.coalesce("accepted", F.array().cast("array<int>"))), lambda x: x * GUESS).alias("y"))
+        mine = spread_join(marked, judged.select("sid", "accepted"), "sid", hot, "doc_id", "left").withColumn("accepted", F.coalesce("accepted", none))
+        met = F.array_distinct(F.flatten(F.collect_list("accepted").over(Window.partitionBy("doc_id"))))  # as long as the document
+        takes = F.when(F.size("accepted") > 0, F.array_intersect("accepted", "labels")).otherwise(F.array_except("labels", "met"))
+        firm = mine.withColumn("met", met).select("words", F.lit(1.0).alias("weight"), shares(takes).alias("y"))
+        told = judged.select("sid", "accepted", F.lit(False).alias("marked")).unionByName(marked.select("sid", none.alias("accepted"), F.lit(True).alias("marked")))
+        told = told.groupBy("sid").agg(F.max("marked").alias("marked"), F.flatten(F.collect_set("accepted")).alias("accepted"))
+        weak = sentences.join(told, "sid", "left").filter("marked IS NULL OR NOT marked")
+        weak = weak.select("words", F.lit(GUESS).alias("weight"), F.transform(shares(F.coalesce("accepted", none)), lambda x: x * GUESS).alias("y"))
         more = leaning(firm.unionByName(weak).withColumn("prior", fixed([RARE] * k)), k)
-        both, either = more.join(words.select("word"), "word").count(), more.select("word").union(words.select("word")).distinct().count()
-        if both >= SAME * either:
+        same, size, size_now = more.join(words.select("word"), "word").count(), words.count(), more.count()
+        if same >= SAME * (size + size_now - same):
             drop(more)
             break
         drop(words, judged)
         words = more
-    drop(words, marked, read)
-    # a third of the documents may hold one sentence: its documents are spread over the salts
+    drop(words, marked, read, sentences)
     name = F.create_map(*[x for i, s in enumerate(subjects) for x in (F.lit(i), F.lit(s))])
     taken = judged.select("sid", F.explode("accepted").alias("i"), "f").select("sid", name[F.col("i")].alias("subject"), F.get("f", F.col("i")).alias("score"))
-    spread = said.withColumn("salt", _salt("doc_id"))
-    return spread.join(taken.withColumn("salt", _salts()), ["sid", "salt"]).groupBy("doc_id", "subject").agg(F.max("score").alias("score"))
+    # a third of the documents may hold one sentence
+    pairs = said.select("doc_id", "sid")
+    return spread_join(pairs, taken, "sid", hot_keys(pairs, "sid"), "doc_id").groupBy("doc_id", "subject").agg(F.max("score").alias("score"))
 
 
 def composition(found: DataFrame, areas: DataFrame) -> DataFrame:
