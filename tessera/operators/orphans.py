@@ -9,7 +9,9 @@ A key may hold a third of all rows, so a key is never one task: rows are
 spread over (key, day).  Per day the parents are reduced to one row by an
 ordinary two-step aggregate; the running maximum over the days of a key is
 tiny and is joined back, so that only rows of one key *and* one day meet in
-one sort.
+one sort.  Where one day of a key is hot itself (a bulk load, or references
+without a time, which have a day of their own), its references are spread over
+salts, and the day's parents, one for each begin, are copied under these.
 """
 
 from __future__ import annotations
@@ -19,6 +21,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.operators.skew import SHARE, salt_of, salts_of
+from tessera.sources.tables import stage
+
 _FOREVER = "9999-12-31 00:00:00"
 _NO_DAY = "0001-01-01"
 
@@ -68,16 +73,29 @@ def orphan_references(parents: Sequence[DataFrame], children: Sequence[DataFrame
     instant.  Repeated child rows are judged one by one; empty inputs give an
     empty result.
     """
-    long = parents[0]
-    for more in [*parents[1:], *children]:
-        long = long.unionByName(more)
-    long = long.withColumn("day", F.coalesce(F.to_date("t"), F.lit(_NO_DAY).cast("date")))
+    lives, refs = parents[0], children[0]
+    for more in parents[1:]:
+        lives = lives.unionByName(more)
+    for more in children[1:]:
+        refs = refs.unionByName(more)
+    # of parents that begin together only the one that ends last counts
+    lives = lives.groupBy("parent_tbl", "key", "t", "is_parent", "tbl", "row_id", "field").agg(F.max("until").alias("until"))
+    day = F.coalesce(F.to_date("t"), F.lit(_NO_DAY).cast("date"))
+    long = refs.unionByName(lives).withColumn("day", day)
 
     spread = ["parent_tbl", "key", "day"]
-    per_day = long.groupBy(*spread).agg(
-        F.max(F.when(F.col("is_parent") & F.col("t").isNotNull(), F.col("until"))).alias("day_until"),
-        F.max("is_parent").alias("has_parent"),
+    per_day = stage(
+        long.groupBy(*spread).agg(
+            F.max(F.when(F.col("is_parent") & F.col("t").isNotNull(), F.col("until"))).alias("day_until"),
+            F.max("is_parent").alias("has_parent"),
+            F.count_if(~F.col("is_parent")).alias("n"),
+        ),
+        "days",
     )
+    group = F.xxhash64(*spread)
+    total = per_day.agg(F.sum("n")).first()[0] or 0
+    hot = [r.g for r in per_day.filter(F.col("n") * SHARE > total).select(group.alias("g")).collect()]  # fewer than SHARE
+    salts = salts_of(group, hot)
     days = Window.partitionBy("parent_tbl", "key").orderBy("day")
     before = days.rowsBetween(Window.unboundedPreceding, -1)
     whole = Window.partitionBy("parent_tbl", "key")
@@ -85,13 +103,15 @@ def orphan_references(parents: Sequence[DataFrame], children: Sequence[DataFrame
         *spread,
         F.max("day_until").over(before).alias("carried_until"),
         F.max("has_parent").over(whole).alias("known"),
-    )
+    ).withColumn("salt", salts)
 
-    in_day = Window.partitionBy(*spread).orderBy(F.col("t").asc_nulls_first(), F.col("is_parent").desc()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    refs, lives = refs.withColumn("day", day), lives.withColumn("day", day)
+    long = refs.withColumn("salt", salt_of(group, hot, F.col("row_id"))).unionByName(lives.withColumn("salt", salts))
+    in_day = Window.partitionBy(*spread, "salt").orderBy(F.col("t").asc_nulls_first(), F.col("is_parent").desc()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     seen = long.withColumn("seen_until", F.max(F.when(F.col("t").isNotNull(), F.col("until"))).over(in_day)).filter(~F.col("is_parent"))
 
     c, s = carried.alias("c"), seen.alias("s")
-    same = (F.col("s.parent_tbl") == F.col("c.parent_tbl")) & (F.col("s.key") == F.col("c.key")) & (F.col("s.day") == F.col("c.day"))
+    same = (F.col("s.parent_tbl") == F.col("c.parent_tbl")) & (F.col("s.key") == F.col("c.key")) & (F.col("s.day") == F.col("c.day")) & (F.col("s.salt") == F.col("c.salt"))
     latest = F.greatest(F.col("c.carried_until"), F.col("s.seen_until"))
     kind = (
         F.when(~F.col("c.known"), F.lit("missing"))

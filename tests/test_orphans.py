@@ -54,3 +54,29 @@ def test_hot_key_against_brute_force(spark):
         elif not any(e > t for _, e in begun):
             want.add((row, "deleted", "2025-01"))
     assert kinds(run(spark, parents, children)) == want
+
+
+def test_a_third_of_the_rows_on_one_key(spark):
+    """One key with null times and with all on one day: its rows are spread, and each is judged right."""
+    import random
+
+    rng = random.Random(4)
+    at = lambda: dt.datetime(2025, 3, 7, rng.randrange(24), rng.randrange(60))
+    parents = [("hot", at(), at(), None) for _ in range(30)] + [(f"k{i}", T(1 + i % 20), None, None) for i in range(60)]
+    children = [(i, "hot", at(), None) for i in range(150)] + [(200 + i, "hot", None, None) for i in range(150)] + [(400 + i, "gone", None, None) for i in range(150)]
+    children += [(1000 + i, f"k{i % 90}", T(1 + i % 28), None) for i in range(450)]
+    lives = {}
+    for k, b, e, _ in parents:
+        lives.setdefault(k, []).append((b, e))
+    want = set()
+    for row, k, t, _ in children:
+        begun = [(b, e) for b, e in lives.get(k, []) if t is not None and b <= t]
+        period = f"{t:%Y-%m}" if t else "none"
+        if k not in lives:
+            want.add((row, "missing", period))
+        elif t is not None and not begun:
+            want.add((row, "late", period))
+        elif t is not None and not any(e is None or e > t for _, e in begun):
+            want.add((row, "deleted", period))
+    df = run(spark, parents, children)
+    assert kinds(df) == want and df.count() == len(want)
