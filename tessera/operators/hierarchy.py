@@ -3,8 +3,9 @@
 Every node starts with a pointer to its parent.  A round joins pointers with
 pointers, so the distance doubles and the path segments are concatenated;
 a tree of depth d is finished after log2(d) + 1 rounds, whatever its shape.
-Nodes whose pointer has reached a root drop out of the joins.  A round that
-finishes no node proves that the rest lies on loops or below them.
+Nodes whose pointer has reached a root drop out of the joins, but for those
+that an open node points at: the others are scanned, never shuffled again.
+A round that finishes no node proves that the rest lies on loops or below them.
 
 One ancestor may be the pointer of a third of all nodes: the few hot ones are
 counted in each round, their pointer rows copied under salts, and the many
@@ -13,16 +14,12 @@ rows that point at them spread over these.
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessera.operators.skew import hot_keys, salt_of, salts_of
 from tessera.sources.tables import drop, stage
 
-#: An ancestor of more than one in so many rows is hot; into how many parts its rows are spread.
-SHARE, SALTS = 64, 16
-
 
 def chosen_parents(links: DataFrame) -> DataFrame:
     """(id, parent): of several parents the one of the smallest edge_id.
@@ -38,16 +35,10 @@ def chosen_parents(links: DataFrame) -> DataFrame:
 
 
 def _follow(left: DataFrame, right: DataFrame, n: int, *columns):
-    """Join each of the ``n`` rows of ``left`` with the pointer row of its ancestor.
-
-    Ancestors of more than one in ``SHARE`` rows, at most ``SHARE`` of them,
-    are hot: their row is copied under each salt.
-    """
-    often = left.groupBy("anc").agg(F.count(F.lit(1)).alias("rows")).filter(F.col("rows") * SHARE > n)
-    hot = [r.anc for r in often.select("anc").collect()]
-    one, salts = F.array(F.lit(0)), F.array(*[F.lit(i) for i in range(SALTS)])
-    copies = right.withColumn("salt", F.explode(F.when(F.col("id").isin(hot), salts).otherwise(one))).alias("r")
-    spread = left.withColumn("salt", F.when(F.col("anc").isin(hot), F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int")).otherwise(0)).alias("l")
+    """Join each of the ``n`` rows of ``left`` with the pointer row of its ancestor."""
+    hot = hot_keys(left, "anc", n)
+    copies = right.withColumn("salt", salts_of(F.col("id"), hot)).alias("r")
+    spread = left.withColumn("salt", salt_of(F.col("anc"), hot, F.col("id"))).alias("l")
     return spread.join(copies, (F.col("l.anc") == F.col("r.id")) & (F.col("l.salt") == F.col("r.salt"))).select(*columns)
 
 
@@ -74,13 +65,15 @@ def hierarchies(links: DataFrame) -> DataFrame:
         F.when(root, F.array().cast("array<string>")).otherwise(F.array("id")).alias("below"),
         root.alias("ended"),
     )
-    ended, open_ = stage(first.filter("ended"), "roots"), stage(first.filter("NOT ended"), "open")
+    start = stage(first, "start")
+    ended, open_ = start.filter("ended"), start.filter("NOT ended")
     n_open = open_.count()
     while n_open:
+        needed = ended.join(open_.select(F.col("anc").alias("id")).distinct(), "id", "left_semi")
         hop = stage(
             _follow(
                 open_,
-                ended.unionByName(open_),
+                needed.unionByName(open_),
                 n_open,
                 F.col("l.id").alias("id"),
                 F.col("r.anc").alias("anc"),
@@ -94,32 +87,48 @@ def hierarchies(links: DataFrame) -> DataFrame:
         if still == n_open:
             drop(hop)
             break
-        drop(open_)
         ended, open_, n_open = ended.unionByName(hop.filter("ended")), hop.filter("NOT ended"), still
-        open_._tessera_path = None
     trees = ended.select("id", F.col("anc").alias("root_id"), F.col("dist").alias("depth"), F.concat(F.array("anc"), "below").alias("path"))
     if not n_open:
+        drop(parents)
         return trees
-    return trees.unionByName(_loops(stage(open_.select("id").join(parents, "id"), "loops"), n_open))
+    loops = _loops(open_.select("id").join(parents, "id"), n_open)
+    drop(parents)
+    return trees.unionByName(loops)
 
 
 def _loops(rest: DataFrame, n: int) -> DataFrame:
     """Rows for the names on and below loops; ``rest`` has id and parent.
 
-    After 2^k >= n steps every pointer lies on a loop, and every loop node is
-    the pointer of some node.  The least name of 2^k steps is carried along.
+    Pointers double, and the least name of the steps is carried along.  What
+    pointers point at shrinks with every doubling until it is just the loops;
+    once a doubling changes neither the number of these nor any least name, each
+    least name on a loop is that of the whole loop (a window of m steps that
+    equals its neighbours m steps on covers the loop).  So the rounds are
+    logarithmic in the longest tail or loop, not in the number of names.
     """
-    at = rest.select("id", F.col("parent").alias("anc"), F.col("id").alias("low"))
-    for _ in range(max(1, math.ceil(math.log2(n)))):
-        at = stage(_follow(at, at, n, F.col("l.id").alias("id"), F.col("r.anc").alias("anc"), F.least("l.low", "r.low").alias("low")), "loop")
+    at = stage(rest.select("id", F.col("parent").alias("anc"), F.col("id").alias("low"), F.lit(True).alias("fresh")), "loop")
+    ends = at.select("anc").distinct().count()
+    while True:
+        low = F.least("l.low", "r.low")
+        new = stage(_follow(at, at, n, F.col("l.id").alias("id"), F.col("r.anc").alias("anc"), low.alias("low"), (low != F.col("l.low")).alias("fresh")), "loop")
+        n_ends, fresh = new.agg(F.countDistinct("anc"), F.count_if("fresh")).first()
+        drop(at)
+        at = new
+        if n_ends == ends and not fresh:
+            break
+        ends = n_ends
     on = at.select(F.col("anc").alias("id")).distinct().withColumn("on_loop", F.lit(True))
-    ends = _follow(at, at, n, F.col("l.id").alias("id"), F.col("r.low").alias("root_id"))
-    return ends.join(on, "id", "left").select(
+    found = _follow(at, at, n, F.col("l.id").alias("id"), F.col("r.low").alias("root_id"))
+    rows = found.join(on, "id", "left").select(
         "id",
         "root_id",
         F.when(F.col("on_loop"), -1).otherwise(-2).alias("depth"),
         F.array().cast("array<string>").alias("path"),
     )
+    out = stage(rows, "loops")
+    drop(at)
+    return out
 
 
 def descendants(tree: DataFrame) -> DataFrame:
