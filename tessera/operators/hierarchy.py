@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.operators.skew import hot_keys, salt_of, salts_of
-from tessera.sources.tables import drop, stage
+from tessera.sources.tables import drop, stage, together
 
 
 def chosen_parents(links: DataFrame) -> DataFrame:
@@ -55,21 +55,16 @@ def hierarchies(links: DataFrame) -> DataFrame:
     * no links: no rows.  Repeated and parallel links change nothing.
     """
     parents = stage(chosen_parents(links), "parents")
-    names = links.select(F.col("parent").alias("id")).union(links.select(F.col("child").alias("id"))).distinct()
-    root = F.col("parent").isNull()
+    nothing = F.array().cast("array<string>")
+    row = lambda anc, dist, below, ended: ["id", anc.alias("anc"), F.lit(dist).alias("dist"), below.alias("below"), F.lit(ended).alias("ended")]
     # below: the names from just under the ancestor down to the node
-    first = names.join(parents, "id", "left").select(
-        "id",
-        F.coalesce("parent", "id").alias("anc"),
-        F.when(root, 0).otherwise(1).alias("dist"),
-        F.when(root, F.array().cast("array<string>")).otherwise(F.array("id")).alias("below"),
-        root.alias("ended"),
-    )
-    start = stage(first, "start")
-    ended, open_ = start.filter("ended"), start.filter("NOT ended")
-    n_open = open_.count()
+    roots = links.select(F.col("parent").alias("id")).distinct().join(parents.select("id"), "id", "left_anti")
+    roots = stage(roots.select(*row(F.col("id"), 0, nothing, True)), "roots")
+    open_ = stage(parents.select(*row(F.col("parent"), 1, F.array("id"), False)), "open")
+    done, n_open = [roots], open_.count()
     while n_open:
-        needed = ended.join(open_.select(F.col("anc").alias("id")).distinct(), "id", "left_semi")
+        # of the finished names only those that an open one points at meet in the join
+        needed = together(*done).filter("ended").join(open_.select(F.col("anc").alias("id")).distinct(), "id", "left_semi")
         hop = stage(
             _follow(
                 open_,
@@ -87,7 +82,9 @@ def hierarchies(links: DataFrame) -> DataFrame:
         if still == n_open:
             drop(hop)
             break
-        ended, open_, n_open = ended.unionByName(hop.filter("ended")), hop.filter("NOT ended"), still
+        done.append(hop)
+        open_, n_open = hop.filter("NOT ended"), still
+    ended = together(*done).filter("ended")
     trees = ended.select("id", F.col("anc").alias("root_id"), F.col("dist").alias("depth"), F.concat(F.array("anc"), "below").alias("path"))
     if not n_open:
         drop(parents)

@@ -70,6 +70,11 @@ def stage(df: DataFrame, label: str = "t") -> DataFrame:
     return out
 
 
+def together(*staged: DataFrame) -> DataFrame:
+    """Staged tables of the same columns as one scan: their small files share tasks, and the plan stays small."""
+    return staged[0].sparkSession.read.schema(staged[0].schema).parquet(*[df._tessera_path for df in staged])
+
+
 @contextmanager
 def scratch(spark: SparkSession) -> Iterator[list[str]]:
     """Delete what is staged within the block when it ends: for callers that are done with an answer by then."""
