@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera import schema
 from tessera.functions import dart
 from tessera.functions.text import name_or_null
 from tessera.operators import extract, graph, incremental, search, vector
@@ -513,7 +514,17 @@ def q_priority_files(spark, d):
     return graph.priority(files(spark, d).select("path", F.col("file_id").alias("pos"))).withColumn("rank", F.col("rank").cast("bigint"))
 
 
-@query()
+@query(
+    f"""+{_LEXICON}, words AS (SELECT id, w, unnest(range(1, len(w) + 1)) AS i FROM (SELECT id, regexp_extract_all(id, '[A-Z][a-z0-9]*|[0-9]+') AS w FROM nodes)),
+    syn AS (SELECT id, string_agg(synonyms, ', ' ORDER BY i) AS synonyms FROM words JOIN lexicon ON token = w[i] GROUP BY id),
+    last AS (SELECT path, content FROM (SELECT path, content, row_number() OVER (PARTITION BY path ORDER BY file_id DESC) AS rn FROM src_files WHERE content IS NOT NULL) WHERE rn = 1),
+    rows_ AS (SELECT n.*, m.path, s.synonyms, CASE WHEN coalesce(l.content, '') = '' THEN [] ELSE string_split(regexp_replace(replace(replace(l.content, chr(13) || chr(10), chr(10)), chr(13), chr(10)), '\\n\\z', ''), chr(10)) END AS l
+      FROM nodes n LEFT JOIN mapping m USING (id) LEFT JOIN last l ON l.path = m.path LEFT JOIN syn s ON s.id = n.id),
+    cut AS (SELECT *, coalesce(greatest(list_min(list_filter(range(1, len(l) + 1), lambda i: regexp_matches(l[i], '\\bclass\\s+' || id || '\\b'))) - 3, 1), 1) AS b FROM rows_)
+    SELECT id, concat_ws(chr(10), 'Class: ' || nullif(id, ''), 'File: ' || nullif(path, ''), 'Also: ' || nullif(synonyms, ''), 'Methods: ' || nullif(array_to_string(list_filter(methods, lambda x: x IS NOT NULL), ', '), ''),
+      'Events: ' || nullif(array_to_string(list_filter(events, lambda x: x IS NOT NULL), ', '), ''), 'API paths: ' || nullif(array_to_string(list_filter(api_paths, lambda x: x IS NOT NULL), ', '), ''),
+      nullif(array_to_string(l[b:b + 119], chr(10)), '')) AS document FROM cut"""
+)
 def q_embedding_text(spark, d):
     n, m = nodes(spark, d), mapping(spark, d)
     content = extract.first_per(files(spark, d).filter("content IS NOT NULL").select("path", "content", "file_id"), ["path"], F.col("file_id").desc()).select("path", "content")
@@ -529,15 +540,28 @@ def q_encoded(spark, d):
 
 # -------------------------------------------------------------- maintenance
 
-#: Two snapshots of one table: in the older one every seventh row has other content, every eleventh is absent, and some are gone since.
-_OLD = "SELECT 'f' || doc_id AS path, sha256(CASE WHEN doc_id % 7 = 0 THEN 'was ' || coalesce(text, '') ELSE coalesce(text, '') END) AS sha256 FROM documents WHERE doc_id % 11 <> 0"
-_NEW = "SELECT 'f' || doc_id AS path, sha256(coalesce(text, '')) AS sha256 FROM documents WHERE doc_id % 13 <> 0"
+#: Two moments: what was scanned and not yet deleted then are two snapshots of the files.
+THEN, NOW = "2025-05-01 00:00:00", "2025-12-31 00:00:00"
+
+
+def _as_of(t: str) -> str:
+    """The files alive at a moment in SQL, each path once: the latest scan."""
+    return f"""SELECT file_id, repo, path, content FROM (SELECT *, row_number() OVER (PARTITION BY path ORDER BY scanned_at DESC, file_id DESC) AS rn FROM src_files
+      WHERE scanned_at <= '{t}' AND (deleted_at IS NULL OR deleted_at > '{t}') AND content IS NOT NULL AND path IS NOT NULL) WHERE rn = 1"""
+
+
+def _alive(spark, d, t: str) -> DataFrame:
+    at = F.lit(t).cast("timestamp_ntz")
+    rows = files(spark, d).filter((F.col("scanned_at") <= at) & (F.col("deleted_at").isNull() | (F.col("deleted_at") > at)) & F.col("content").isNotNull() & F.col("path").isNotNull())
+    return extract.first_per(rows.select("file_id", "repo", "path", "content", "scanned_at"), ["path"], F.col("scanned_at").desc(), F.col("file_id").desc())
+
+
+_OLD = f"SELECT path, sha256(content) AS sha256 FROM ({_as_of(THEN)})"
+_NEW = f"SELECT path, sha256(content) AS sha256 FROM ({_as_of(NOW)})"
 
 
 def _snapshots(spark, d):
-    rows = table(spark, d, "documents").select("doc_id", F.concat(F.lit("f"), F.col("doc_id").cast("string")).alias("path"), F.coalesce("text", F.lit("")).alias("content"))
-    was = F.when(F.col("doc_id") % 7 == 0, F.concat(F.lit("was "), "content")).otherwise(F.col("content"))
-    return incremental.hashes(rows.filter("doc_id % 11 <> 0").withColumn("content", was)), incremental.hashes(rows.filter("doc_id % 13 <> 0"))
+    return incremental.hashes(_alive(spark, d, THEN)), incremental.hashes(_alive(spark, d, NOW))
 
 
 @query("SELECT file_id, sha256(content) AS sha256, coalesce(sha256(content) = sha256, content IS NULL AND sha256 IS NULL) AS same FROM src_files", views=False)
@@ -556,10 +580,9 @@ def q_changes(spark, d):
     return incremental.changes(*_snapshots(spark, d))
 
 
-@query(_CHANGES + ", m AS (SELECT 'c' || (doc_id % 50) AS id, 'f' || doc_id AS path FROM documents) SELECT DISTINCT id, change FROM m JOIN diff USING (path)", views=False)
+@query("+" + _CHANGES.removeprefix("WITH ") + " SELECT DISTINCT m.id, change FROM mapping m JOIN diff USING (path)")
 def q_affected(spark, d):
-    m = table(spark, d, "documents").select(F.concat(F.lit("c"), (F.col("doc_id") % 50).cast("string")).alias("id"), F.concat(F.lit("f"), F.col("doc_id").cast("string")).alias("path"))
-    return incremental.affected_ids(incremental.changes(*_snapshots(spark, d)), m)
+    return incremental.affected_ids(incremental.changes(*_snapshots(spark, d)), mapping(spark, d))
 
 
 @query(
@@ -615,3 +638,150 @@ def q_loaded_files(spark, d):
 def q_preview(spark, d):
     content = extract.first_per(files(spark, d).filter("content IS NOT NULL").select("path", "content", "file_id"), ["path"], F.col("file_id").desc()).select("path", "content")
     return context.described(nodes(spark, d).select("id"), nodes(spark, d), mapping(spark, d), content).select("id", "snippet")
+
+
+# ------------------------------------------------------------ the whole graph
+
+
+def _graph(latest: str, x: str = "") -> str:
+    """CTEs of the graph of some files in SQL: found (class and part-file rows), nodes, edges and file map, all with the suffix ``x``."""
+    classes = _CLASSES.replace("classes AS", f"classes{x} AS").replace("FROM src_files", f"FROM latest{x}")
+    first = _FIRSTS.format("a")
+
+    def listed(name: str, pattern: str, tail: str) -> str:
+        return f"{name}{x} AS (SELECT file_id, {tail} AS l FROM (SELECT file_id, regexp_extract_all(content, {_sql(pattern)}, 1) AS a FROM latest{x}))"
+
+    def ends(kind: str, pattern: str, group: int, own: bool) -> str:
+        return f"""SELECT src, dst, edge_type FROM (SELECT src, unnest(regexp_extract_all(content, {_sql(pattern)}, {group})) AS dst, '{kind}' AS edge_type FROM mains{x} WHERE src IS NOT NULL){'' if own else ' WHERE src <> dst'}"""
+
+    return f"""latest{x} AS ({latest}), {classes},
+    {listed("m", dart.METHOD, f"({first})[1:10]")}, {listed("e", dart.EVENT, f"({first})[1:10]")}, {listed("p", dart.API_PATH, f"list_filter({first}, lambda x: length(x) > 3)[1:5]")},
+    each{x} AS (SELECT file_id, path, content, i - 1 AS pos, names[i] AS name, bases[i] AS base FROM (
+      SELECT file_id, path, content, list_concat(n1, n2) AS names, list_concat(b1, list_transform(n2, lambda x: '')) AS bases, unnest(range(1, len(n1) + len(n2) + 1)) AS i FROM classes{x})),
+    lined{x} AS (SELECT *, (SELECT CASE WHEN m >= len(l) THEN 1 ELSE m END FROM (SELECT list_max(list_filter(range(1, len(l) + 1), lambda i: regexp_matches(l[i], '\\bclass\\s+' || name || '\\b'))) AS m)) AS spot
+      FROM (SELECT *, string_split(content, chr(10)) AS l FROM each{x})),
+    parts{x} AS (SELECT * FROM (SELECT file_id, path, CASE WHEN path LIKE '%\\_event.dart' ESCAPE '\\' THEN 'Event' ELSE 'State' END AS node_type,
+        list_reduce(list_transform(string_split(replace(string_split(path, '/')[-1], '.dart', ''), '_'), lambda w: upper(w[1]) || lower(w[2:])), lambda x, y: x || y) AS id,
+        len(list_concat(regexp_extract_all(content, {_sql(dart.EVENT_CLASS)}, 1), regexp_extract_all(content, {_sql(dart.STATE_CLASS)}, 1))[1:20]) AS n
+      FROM latest{x} WHERE path LIKE '%\\_event.dart' ESCAPE '\\' OR path LIKE '%\\_state.dart' ESCAPE '\\') WHERE n > 0),
+    found{x} AS (
+      SELECT id, node_type, base_class, concat_ws(' | ', node_type, CASE WHEN base_class NOT IN ('', 'Mixin') THEN 'extends ' || base_class END,
+          CASE WHEN len(ev) > 0 THEN 'on<' || array_to_string(ev[1:3], ',') || '>' WHEN len(me) > 0 THEN 'fn:' || array_to_string(me[1:4], ',') END, 'api:' || ap[1]) AS summary,
+        CAST(coalesce(spot, 1) AS INT) AS start_line, file_id, path, pos
+      FROM (SELECT *, {_rule_sql()} AS node_type FROM (SELECT name AS id, base AS base_class, spot, file_id, path, pos, m.l AS me, e.l AS ev, p.l AS ap
+        FROM lined{x} JOIN m{x} m USING (file_id) JOIN e{x} e USING (file_id) JOIN p{x} p USING (file_id)))
+      UNION ALL SELECT id, node_type, NULL, NULL, NULL, file_id, path, 0 FROM parts{x}),
+    placed{x} AS (SELECT f.*, l.repo FROM found{x} f JOIN latest{x} l USING (file_id)),
+    graph_nodes{x} AS (SELECT id, node_type, repo, base_class, summary, start_line FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY repo NULLS FIRST, path, pos) AS rn FROM placed{x}) WHERE rn = 1),
+    graph_map{x} AS (SELECT id, path, CAST(coalesce(start_line, 1) AS INT) AS line FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY repo DESC NULLS LAST, path DESC, pos DESC) AS rn FROM placed{x}) WHERE rn = 1),
+    mains{x} AS (SELECT content, coalesce(n1[1], n2[1]) AS src FROM classes{x}),
+    plain{x} AS (SELECT DISTINCT src, dst, edge_type FROM ({ends("depends_on", dart.LOOKUP, 1, False)} UNION ALL {ends("binds", dart.BINDING, 1, False)} UNION ALL {ends("routes_to", dart.ROUTED, 2, True)}
+      UNION ALL SELECT replace(replace(id, 'Event', 'Bloc'), 'State', 'Bloc'), id, 'has_part' FROM parts{x})),
+    cases{x} AS (SELECT src, dst FROM plain{x} WHERE edge_type = 'binds' AND contains(dst, 'UseCase')),
+    graph_edges{x} AS (SELECT src, dst, edge_type, NULL::VARCHAR[] AS shared_usecases FROM plain{x}
+      UNION ALL SELECT a.src, b.src, 'similar_to', list_sort(list(a.dst))[1:3] FROM cases{x} a JOIN cases{x} b ON a.dst = b.dst AND a.src < b.src GROUP BY a.src, b.src)"""
+
+
+def _whole(spark, d, t: str = NOW) -> dict[str, DataFrame]:
+    return extract.knowledge_graph(_alive(spark, d, t))
+
+
+_WHOLE = "WITH " + _graph(_as_of(NOW))
+
+
+@query(_WHOLE + " SELECT * FROM graph_nodes", views=False)
+def q_graph_nodes(spark, d):
+    return _whole(spark, d)["nodes"].select("id", "node_type", "repo", "base_class", "summary", "start_line")
+
+
+@query(_WHOLE + " SELECT src, dst, edge_type, coalesce(array_to_string(shared_usecases, ','), '') AS shared FROM graph_edges", views=False)
+def q_graph_edges(spark, d):
+    return _whole(spark, d)["edges"].select("src", "dst", "edge_type", F.coalesce(F.array_join("shared_usecases", ","), F.lit("")).alias("shared"))
+
+
+@query(_WHOLE + " SELECT * FROM graph_map", views=False)
+def q_graph_files(spark, d):
+    return _whole(spark, d)["file_map"]
+
+
+@query()
+def q_script_edges(spark, d):
+    return extract.script_graph(files(spark, d))["edges"]
+
+
+@query(
+    "WITH " + _graph(_as_of(THEN), "_a") + ", " + _graph(_as_of(NOW), "_b") + """,
+    changed AS (SELECT n.path FROM latest_b n LEFT JOIN latest_a o USING (path) WHERE o.path IS NULL OR sha256(o.content) <> sha256(n.content)),
+    judged AS (SELECT id, path IN (SELECT path FROM changed) OR id NOT IN (SELECT id FROM graph_map_a) AS again FROM graph_map_b)
+    SELECT count(*) AS total, count(*) FILTER (WHERE again) AS encoded, (SELECT count(*) FROM graph_map_a WHERE id NOT IN (SELECT id FROM graph_map_b)) AS deleted, count(*) FILTER (WHERE NOT again) AS unchanged FROM judged""",
+    views=False,
+)
+def q_rebuilt_vectors(spark, d):
+    """The vectors of an earlier moment brought up to a later one."""
+    encoder = hashing_encoder()
+    none = spark.createDataFrame([], schema.VECTORS), spark.createDataFrame([], schema.HASHES)
+    was = incremental.rebuilt(_alive(spark, d, THEN), *none, None, encoder)
+    return incremental.rebuilt(_alive(spark, d, NOW), was["vectors"], was["hashes"], None, encoder)["stats"]
+
+
+# --------------------------------------------------- prompt parts and overview
+
+
+@query("SELECT doc_id, text || CASE WHEN contains(lower(text), 'flash') THEN ' flash sale fsell product discount' ELSE '' END AS expanded FROM documents", views=False)
+def q_query_expansion(spark, d):
+    return table(spark, d, "documents").select("doc_id", context.expansion(F.col("text")).alias("expanded"))
+
+
+_TASKS = "CASE intent " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in context.TASKS.items() if k != "GENERAL") + f" ELSE '{context.TASKS['GENERAL']}' END"
+
+
+@query(
+    f"""WITH q AS (SELECT doc_id, text, source, target_text, CASE WHEN contains(lower(text), 'luồng') OR contains(lower(text), 'flow') THEN 'FLOW'
+      WHEN contains(lower(text), 'fix') OR contains(lower(text), 'bug') OR contains(lower(text), 'crash') THEN 'DEBUG' ELSE 'GENERAL' END AS intent FROM documents)
+    SELECT doc_id, concat_ws(chr(10), 'QUESTION', text, 'FLOW SOURCES', source, 'GRAPH', intent, 'RELATED SOURCES', target_text, 'TASK', {_TASKS}) AS prompt FROM q""",
+    views=False,
+)
+def q_prompt(spark, d):
+    rows = table(spark, d, "documents").withColumn("intent", search.intent(F.col("text")))
+    return rows.select("doc_id", context.prompt(F.col("text"), F.col("intent"), F.col("source"), F.col("intent"), F.col("target_text")).alias("prompt"))
+
+
+@query("SELECT m.path, min(e.edge_id) AS pos FROM edges e JOIN mapping m ON m.id = e.src WHERE coalesce(m.path, '') <> '' GROUP BY m.path")
+def q_node_files(spark, d):
+    return search.first_files(edges(spark, d).select(F.col("src").alias("id"), F.col("edge_id").alias("pos")), mapping(spark, d))
+
+
+@query(
+    f"""+{_WITHIN}, deg AS (SELECT id, count(*) AS degree FROM (SELECT src AS id FROM inside UNION ALL SELECT dst FROM inside) GROUP BY id ORDER BY degree DESC, id LIMIT 10),
+    pairs AS (SELECT least(a.repo, b.repo) AS repo_a, greatest(a.repo, b.repo) AS repo_b, count(*) AS n FROM edges e JOIN nodes a ON a.id = e.src JOIN nodes b ON b.id = e.dst
+      WHERE a.repo <> '' AND b.repo <> '' AND a.repo <> b.repo GROUP BY 1, 2 ORDER BY n DESC, repo_a, repo_b LIMIT 10)
+    SELECT 'total_nodes' AS part, '' AS name, (SELECT count(*) FROM nodes) AS n UNION ALL SELECT 'total_edges', '', (SELECT count(*) FROM inside) UNION ALL SELECT 'repos', '', (SELECT count(DISTINCT coalesce(repo, '')) FROM nodes)
+    UNION ALL SELECT 'hub', id, degree FROM deg UNION ALL SELECT 'coupling', repo_a || ' - ' || repo_b, n FROM pairs WHERE n >= 3"""
+)
+def q_overview(spark, d):
+    """The overview in long form, without the bridges (``q_betweenness``)."""
+    n, e, m = nodes(spark, d), edges(spark, d), mapping(spark, d)
+    stats = graph.graph_stats(e, n, m).select(F.explode(F.array(*[F.struct(F.lit(c).alias("part"), F.lit("").alias("name"), F.col(c).alias("n")) for c in ("total_nodes", "total_edges", "repos")])).alias("x")).select("x.*")
+    hubs = graph.hubs(e, n, m).select(F.lit("hub").alias("part"), F.col("id").alias("name"), F.col("degree").alias("n"))
+    coupled = graph.repo_coupling(e, n).select(F.lit("coupling").alias("part"), F.concat("repo_a", F.lit(" - "), "repo_b").alias("name"), "n")
+    return stats.unionByName(hubs).unionByName(coupled)
+
+
+@query(
+    """+pairs AS (SELECT src AS a, dst AS b FROM edges UNION SELECT dst, src FROM edges), reach AS (SELECT a AS id, a AS c FROM pairs UNION SELECT r.id, b.b FROM reach r JOIN pairs b ON b.a = r.c),
+    member AS (SELECT id, min(c) AS community FROM reach GROUP BY id),
+    known AS (SELECT m.community, m.id, coalesce(n.repo, '') AS repo, coalesce(n.node_type, 'Unknown') AS node_type FROM member m LEFT JOIN nodes n USING (id)),
+    sizes AS (SELECT community, count(*) AS size FROM known GROUP BY 1 HAVING count(*) >= 3),
+    r AS (SELECT community, repo, count(*) AS n FROM known GROUP BY 1, 2), t AS (SELECT community, node_type, count(*) AS n FROM known GROUP BY 1, 2)
+    SELECT s.community, s.size, (SELECT repo FROM r WHERE r.community = s.community ORDER BY n DESC, repo LIMIT 1) AS name,
+      (SELECT string_agg(repo || '=' || n, ',' ORDER BY repo) FROM r WHERE r.community = s.community) AS repos,
+      (SELECT string_agg(node_type || '=' || n, ',' ORDER BY node_type) FROM t WHERE t.community = s.community) AS types,
+      (SELECT string_agg(id, ',' ORDER BY id) FROM (SELECT id FROM known k WHERE k.community = s.community ORDER BY id LIMIT 5)) AS key_nodes FROM sizes s"""
+)
+def q_component_profiles(spark, d):
+    """Profiles of given memberships: those of the connected components."""
+    e = edges(spark, d)
+    member = graph.components(e, e.select(F.col("src").alias("id")).unionAll(e.select("dst"))).withColumnRenamed("component", "community")
+    counts = lambda c: F.array_join(F.transform(F.sort_array(F.map_entries(c)), lambda x: F.concat(x["key"], F.lit("="), x["value"].cast("string"))), ",")
+    found = community_profiles(member, nodes(spark, d))
+    return found.select("community", "size", "name", counts("repo_distribution").alias("repos"), counts("node_types").alias("types"), F.array_join("key_nodes", ",").alias("key_nodes"))

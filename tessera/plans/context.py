@@ -17,12 +17,21 @@ TRIGGERS = (("home", ("home",)), ("flash", ("flash", "fsell")))
 # Fixed value: what is added to a query that holds the word.
 EXPANSIONS = {"flash": " flash sale fsell product discount"}
 
+# What stands before a loaded file, and in place of one that can't be read.
+FILE_LINE, UNREADABLE = "\nFILE: ", "(Cannot read file)"
+
 
 def expanded(query: str) -> str:
     """The query with the words that its trigger words stand for."""
     return query + "".join(more for word, more in EXPANSIONS.items() if word in query.lower())
 
 
+def expansion(query: Column) -> Column:
+    """``expanded`` of a column of queries."""
+    more = [F.when(F.lower(query).contains(word), words).otherwise("") for word, words in EXPANSIONS.items()]
+    return F.concat(query, *more)
+
+
 def hybrid(vectors: DataFrame, query_vector: list[float], query: str, nodes: DataFrame, edges: DataFrame, mapping: DataFrame, k: int = 5, wide: bool = False, without: Sequence[str] = (), key: str = "id", vector: str = "vec", triggers=TRIGGERS) -> dict[str, DataFrame]:
     """What a prompt needs about a query.
 
@@ -63,15 +72,19 @@ def loaded(files: DataFrame, contents: DataFrame, blacklist: Sequence[str] = (),
     for part in blacklist:
         rows = rows.filter(~F.col("path").contains(part))
     rows = rows.orderBy("rank").limit(k).join(contents.select("path", "content"), "path", "left")
-    body = F.coalesce(F.substring("content", 1, chars), F.lit("(Cannot read file)"))
-    return rows.select("path", "rank", F.concat(F.lit("\nFILE: "), "path", F.lit("\n"), body).alias("text"))
+    body = F.coalesce(F.substring("content", 1, chars), F.lit(UNREADABLE))
+    return rows.select("path", "rank", F.concat(F.lit(FILE_LINE), "path", F.lit("\n"), body).alias("text"))
+
+
+#: What kind of answer is wanted, by the intent of the query.
+TASKS = {
+    "FLOW": "Describe the steps of the real flow, from the screen to the data, using nothing but the sources above. Name what is missing.",
+    "DEBUG": "Find the cause of the fault, then give the fix and the changed lines.",
+    "GENERAL": "Explain this clearly.",
+}
 
 
 def prompt(query: Column, intent: Column, flow: Column, graph: Column, related: Column) -> Column:
     """The text for a language model: question, sources, and what kind of answer is wanted."""
-    task = (
-        F.when(intent == "FLOW", "Describe the steps of the real flow, from the screen to the data, using nothing but the sources above. Name what is missing.")
-        .when(intent == "DEBUG", "Find the cause of the fault, then give the fix and the changed lines.")
-        .otherwise("Explain this clearly.")
-    )
+    task = F.when(intent == "FLOW", TASKS["FLOW"]).when(intent == "DEBUG", TASKS["DEBUG"]).otherwise(TASKS["GENERAL"])
     return F.concat_ws("\n", F.lit("QUESTION"), query, F.lit("FLOW SOURCES"), flow, F.lit("GRAPH"), graph, F.lit("RELATED SOURCES"), related, F.lit("TASK"), task)

@@ -9,7 +9,7 @@ the machine.
 from __future__ import annotations
 
 import json
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterable, Iterator, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
@@ -131,8 +131,7 @@ class Workspace:
             one = self.nodes.sparkSession.createDataFrame([(query,)], "q string")
             more = search.with_synonyms(one, "q", search.query_words(F.col("q")), self.lexicon, " ").first()
             text = f"{query} {more.synonyms}" if more else query
-        vector = [float(x) for x in self.encoder([text])[0]]
-        found = context.hybrid(self.vectors, vector, query, self.nodes, self.edges, self.mapping, top_k)
+        found = context.hybrid(self.vectors, self._encoded(text), query, self.nodes, self.edges, self.mapping, top_k)
         return {
             "files": context.described(found["base"], self.nodes, self.mapping, self._latest(), snippet_chars),
             "flow_files": search.first_files(found["flow"].select("id", F.col("depth").alias("pos")), self.mapping),
@@ -140,6 +139,18 @@ class Workspace:
             "flow_nodes": found["flow"].orderBy("depth", "id").limit(20),
         }
 
+    def _encoded(self, text: str) -> list[float]:
+        return [float(x) for x in self.encoder([text])[0]]
+
+    def select_context(self, query: str, top_k: int = 5, without: Sequence[str] = ()) -> dict[str, DataFrame]:
+        """files, flow and graph for a query whose trigger words are expanded; the flow also follows bindings and has the screens that depend on it."""
+        found = context.hybrid(self.vectors, self._encoded(context.expanded(query)), query, self.nodes, self.edges, self.mapping, top_k, wide=True, without=without)
+        return {
+            "files": search.first_files(found["base"].select("id", (-F.col("score")).alias("pos")), self.mapping).orderBy("pos", "path").select("path"),
+            "flow": search.first_files(found["flow"].select("id", F.col("depth").alias("pos")), self.mapping).orderBy("pos", "path").select("path"),
+            "graph": found["graph"],
+        }
+
 
 #: Fixed value: the names under which tools are called.
 TOOLS = (
@@ -147,11 +158,13 @@ TOOLS = (
     "find_similar_modules", "get_blast_radius", "detect_communities", "get_architecture_overview", "query_context",
     "build_db", "init_steering", "check_steering",
 )
+#: The selector's query, beside the tools.
+MORE = ("select_context",)
 
 
 def call(space: Workspace, tool: str, **arguments) -> DataFrame | dict[str, DataFrame]:
-    if tool not in TOOLS:
-        raise KeyError(f"no tool {tool!r}; there are {', '.join(TOOLS)}")
+    if tool not in TOOLS + MORE:
+        raise KeyError(f"no tool {tool!r}; there are {', '.join(TOOLS + MORE)}")
     return getattr(space, tool)(**arguments)
 
 

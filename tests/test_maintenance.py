@@ -120,6 +120,8 @@ def test_tools(spark):
     assert tools.call(space, "get_blast_radius", node_id="CartModule").count() == 0
     assert tools.call(space, "grep_in_files", keyword="class", file_pattern="*page*").count() == 1
     assert tools.call(space, "search_by_filename", pattern="home").first().in_graph
+    chosen = tools.call(space, "select_context", query="home in a flash")
+    assert [r.path for r in chosen["flow"].collect()] == ["r/home_page.dart", "r/cart.dart"] and len(chosen["files"].collect()) == 2
     assert set(tools.call(space, "get_architecture_overview")) == {"graph_stats", "hub_nodes", "bridge_nodes", "cross_repo_coupling"}
     assert tools.call(space, "find_similar_modules", module_name="CartModule").count() == 0
     assert tools.call(space, "detect_communities", min_size=2).first()["size"] == 2
