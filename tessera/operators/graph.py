@@ -9,13 +9,14 @@ reaches.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.schema import FLOW_TYPES, IMPACT_TYPES, WIDE_FLOW_TYPES
-from tessera.sources.tables import drop, stage
+from tessera.sources.tables import drop, stage, stage_any, together
 
 
 def touching(edges: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -42,15 +43,17 @@ def trace_flow(edges: DataFrame, starts: DataFrame, max_depth: int = 5, types: S
 
     Starts have depth 0, whether they are nodes or not; targets may dangle.
     """
-    hops = edges.filter(F.col("edge_type").isin(*types)).select("src", "dst").distinct()
+    hops = stage(edges.filter(F.col("edge_type").isin(*types)).select("src", "dst").distinct(), "hops")
     seen = stage(starts.select("id", F.lit(0).alias("depth")).distinct(), "flow")
-    frontier = seen
+    frontier, parts = seen, [seen]
     for depth in range(1, max_depth + 1):
         reached = frontier.select(F.col("id").alias("src")).join(hops, "src").select(F.col("dst").alias("id")).distinct()
-        frontier = stage(reached.join(seen.select("id"), "id", "left_anti").withColumn("depth", F.lit(depth)), "hop")
-        if frontier.isEmpty():
+        frontier, some = stage_any(reached.join(seen.select("id"), "id", "left_anti").withColumn("depth", F.lit(depth)), "hop")
+        if not some:
             break
-        seen = seen.unionByName(frontier)
+        parts.append(frontier)
+        seen = together(*parts)
+    drop(hops)
     return seen
 
 
@@ -77,20 +80,22 @@ def blast_radius(edges: DataFrame, start: str, max_depth: int = 4, types: Sequen
     the names from ``start`` to it; of equally short ones the first by path,
     then type.  On a cycle the start itself appears, as what it affects.
     """
-    back = edges.filter(F.col("edge_type").isin(*types)).select("src", "dst", "edge_type").distinct()
+    back = stage(edges.filter(F.col("edge_type").isin(*types)).select("src", "dst", "edge_type").distinct(), "back")
     spark = edges.sparkSession
     frontier = spark.createDataFrame([(start, [start])], "id string, path array<string>")
-    seen = None
+    seen, parts = None, []
     for depth in range(1, max_depth + 1):
         step = frontier.select(F.col("id").alias("dst"), "path").join(back, "dst").select(F.col("src").alias("id"), F.col("edge_type").alias("via"), "path")
         if seen is not None:
             step = step.join(seen.select("id"), "id", "left_anti")
         best = step.groupBy("id").agg(F.min(F.struct("path", "via")).alias("m"))
-        hop = stage(best.select("id", F.lit(depth).alias("depth"), F.col("m.via").alias("via"), F.concat("m.path", F.array("id")).alias("path")), "blast")
-        if hop.isEmpty() and seen is not None:
+        hop, some = stage_any(best.select("id", F.lit(depth).alias("depth"), F.col("m.via").alias("via"), F.concat("m.path", F.array("id")).alias("path")), "blast")
+        parts.append(hop)
+        seen = together(*parts)
+        if not some:
             break
-        seen = hop if seen is None else seen.unionByName(hop)
         frontier = hop.select("id", "path")
+    drop(back)
     return seen
 
 
@@ -137,6 +142,7 @@ def similar_modules(edges: DataFrame, module: str, k: int = 5) -> DataFrame:
     an edge of the other.  The module's own use cases are one module's, so
     they are shipped to all tasks as one array.
     """
+    # fixed value: the verbs
     cut = lambda c: F.regexp_replace(c, r"^(Get|Create|Delete|Update|Fetch)", "")
     uses = edges.filter((F.col("edge_type") == "binds") & F.col("dst").contains("UseCase")).select("src", "dst")
     mine = uses.filter(F.col("src") == module).select("dst").distinct().select(cut("dst").alias("s")).filter("s <> ''").groupBy().agg(F.collect_list("s").alias("own"))
@@ -171,26 +177,41 @@ def components(edges: DataFrame, ids: DataFrame) -> DataFrame:
             return at
 
 
-def betweenness(edges: DataFrame, k: int | None = None) -> DataFrame:
-    """(id, betweenness): exact, unweighted, undirected; parallel edges are one.
+def pivots_for(n: int, error: float, risk: float = 0.05) -> int:
+    """Sources of which no node's betweenness, as a share of all n(n - 1)/2 pairs, errs by more than ``error``, but for a ``risk`` (Hoeffding and a union bound)."""
+    return min(n, math.ceil(math.log(2 * max(n, 1) / risk) / (2 * (error / 2) ** 2)))
+
+
+def betweenness(edges: DataFrame, k: int | None = None, pivots: int | None = None) -> DataFrame:
+    """(id, betweenness): unweighted, undirected; parallel edges are one.
 
     Forward: the numbers of shortest paths from every source, level by level.
     Backward: the dependencies, from the farthest level to the sources.  Each
     level is one join, so no task ever holds the graph.  With ``k`` only the k
     highest positive values, after rounding to two places, ties by name.
+
+    Exact without ``pivots``, at a cost of nodes times edges.  With ``pivots``
+    so many sources, drawn by a hash, stand for all (``pivots_for``): the cost is
+    that many times the edges, and all sources give the exact values.
     """
     pairs = edges.select("src", "dst").filter("src <> dst")
     both = stage(pairs.unionAll(pairs.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct(), "pairs")
-    ids = both.select(F.col("src").alias("v")).distinct()
-    level = stage(ids.select(F.col("v").alias("s"), "v", F.lit(1.0).alias("paths")), "level")
-    levels, seen = [level], level.select("s", "v")
+    ids = stage(both.select(F.col("src").alias("v")).distinct(), "ids")
+    sources, scale = ids, 1.0
+    if pivots is not None:
+        n = ids.count()
+        sources, scale = ids.orderBy(F.xxhash64("v"), "v").limit(pivots), max(n, 1) / max(min(pivots, n), 1)
+    level = stage(sources.select(F.col("v").alias("s"), "v", F.lit(1.0).alias("paths")), "level")
+    levels = [level]
     while True:
+        # one hop from a level leads to that level, the one before it or the next
         far = levels[-1].withColumnRenamed("v", "src").join(both, "src").groupBy("s", F.col("dst").alias("v")).agg(F.sum("paths").alias("paths"))
-        nxt = stage(far.join(seen, ["s", "v"], "left_anti"), "level")
-        if nxt.isEmpty():
+        seen = levels[-1].select("s", "v") if len(levels) == 1 else together(*levels[-2:]).select("s", "v")
+        nxt, some = stage_any(far.join(seen, ["s", "v"], "left_anti"), "level")
+        if not some:
+            drop(nxt)
             break
         levels.append(nxt)
-        seen = seen.unionAll(nxt.select("s", "v"))
     owed = levels[-1].select("s", "v", "paths", F.lit(0.0).alias("d"))
     parts = []
     for above in reversed(levels[:-1]):
@@ -203,7 +224,7 @@ def betweenness(edges: DataFrame, k: int | None = None) -> DataFrame:
         whole = p if whole is None else whole.unionAll(p)
     if whole is None:
         return ids.select(F.col("v").alias("id"), F.lit(0.0).alias("betweenness"))
-    out = whole.groupBy("v").agg((F.sum("d") / 2).alias("b"))
+    out = whole.groupBy("v").agg((F.sum("d") / 2 * scale).alias("b"))
     out = ids.join(out, "v", "left").select(F.col("v").alias("id"), F.coalesce("b", F.lit(0.0)).alias("betweenness"))
     if k is None:
         return out
@@ -226,6 +247,7 @@ def entry_nodes(mapped: DataFrame, query: str, triggers: Sequence[tuple[str, Seq
 def priority(files: DataFrame, k: int = 6) -> DataFrame:
     """(path, rank): pages, screens and views first, then blocs and cubits, then the rest; distinct, the first k."""
     p = F.col("path")
+    # fixed values: how names of screens and of controllers end
     level = F.when(p.contains("_page.dart") | p.contains("_screen.dart") | p.contains("_view.dart"), 0).when(p.contains("_bloc.dart") | p.contains("_cubit.dart"), 1).otherwise(2)
     best = files.filter(p.isNotNull()).groupBy("path").agg(F.min(F.struct(level.alias("level"), "pos")).alias("m")).orderBy("m", "path").limit(k)
     return best.select("path", F.row_number().over(Window.orderBy("m", "path")).alias("rank"))

@@ -151,6 +151,7 @@ def with_synonyms(rows: DataFrame, key: str, words: Column, lexicon: DataFrame,
 def intent(query: Column) -> Column:
     """FLOW, else DEBUG, else GENERAL, by words of the query."""
     q = F.lower(query)
+    # fixed values: the words
     return F.when(q.contains("luồng") | q.contains("flow"), "FLOW").when(q.contains("fix") | q.contains("bug") | q.contains("crash"), "DEBUG").otherwise("GENERAL")
 
 

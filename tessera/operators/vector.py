@@ -44,10 +44,24 @@ def encoded(text: Column, encoder: Encoder, batch: int = 32) -> Column:
     return F.arrow_udf(run, T.ArrayType(T.FloatType()))(text)
 
 
+#: Decimals to which scores are compared, so that equal vectors tie.
+DECIMALS = 12
+
+
 def dot(vector: Column, query: list[float]) -> Column:
-    """Dot product in double precision, in the array's order."""
-    q = F.array(*[F.lit(float(x)) for x in query])
-    return F.aggregate(F.zip_with(vector, q, lambda a, b: a.cast("double") * b), F.lit(0.0), lambda s, x: s + x)
+    """Dot product of vectors of the query's length in double precision; null where it isn't finite."""
+    q = np.asarray(query, np.float64)
+
+    def run(vectors: pa.Array) -> pa.Array:
+        lengths = vectors.value_lengths().fill_null(-1).to_numpy(zero_copy_only=False)
+        rows = np.flatnonzero(lengths == len(q))
+        out = np.full(len(lengths), np.nan)
+        if len(rows):
+            values = vectors.take(pa.array(rows)).flatten().to_numpy(zero_copy_only=False).reshape(len(rows), len(q))
+            out[rows] = np.round((values.astype(np.float64) * q).sum(axis=1), DECIMALS)  # each row is summed alike, whatever its neighbours
+        return pa.array(out, mask=~np.isfinite(out))
+
+    return F.arrow_udf(run, T.DoubleType())(vector)
 
 
 def top_k(vectors: DataFrame, query: list[float], k: int, key: str = "id", vector: str = "vec", mapped: DataFrame | None = None, without: list[str] | None = None) -> DataFrame:
@@ -55,14 +69,15 @@ def top_k(vectors: DataFrame, query: list[float], k: int, key: str = "id", vecto
 
     Unmapped and blacklisted keys are left out before the k are taken, so the
     result has k rows where there are that many.  One query against all rows:
-    each task keeps its own k, and only these meet.
+    each task keeps its own k, and only these meet.  Vectors of another length
+    and such with a null or non-finite score are left out.
     """
     rows = vectors.filter(F.col(vector).isNotNull() & (F.size(vector) == len(query)))
     if without:
         rows = rows.filter(~F.col(key).isin(without))
     if mapped is not None:
         rows = rows.join(mapped.select(F.col("id").alias(key)).distinct(), key, "left_semi")
-    return rows.select(key, dot(F.col(vector), query).alias("score")).orderBy(F.col("score").desc(), key).limit(k)
+    return rows.select(key, dot(F.col(vector), query).alias("score")).filter("score IS NOT NULL").orderBy(F.col("score").desc(), key).limit(k)
 
 
 def embedding_text(nodes: DataFrame) -> DataFrame:

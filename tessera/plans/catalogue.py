@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera import schema
@@ -12,7 +12,7 @@ from tessera.operators import extract, graph, incremental, search, vector
 from tessera.operators.communities import communities, community_profiles
 from tessera.operators.vector import hashing_encoder
 from tessera.plans import context
-from tessera.sources.tables import table
+from tessera.sources.tables import kept, table
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -47,18 +47,23 @@ def query(sql: str | None = None, views: bool = True, name: str | None = None):
     return add
 
 
+def _path(d: str, name: str) -> str:
+    return f"{d.rstrip('/')}/{name}.parquet"
+
+
 def nodes(spark: SparkSession, d: str) -> DataFrame:
-    return extract.first_nodes(table(spark, d, "kg_nodes"), "node_row")
+    """The canonical nodes; like edges and mapping made once a session, as a stored graph is."""
+    return kept(spark, _path(d, "kg_nodes"), "nodes", lambda: extract.first_nodes(table(spark, d, "kg_nodes"), "node_row"))
 
 
 def edges(spark: SparkSession, d: str) -> DataFrame:
     e = table(spark, d, "kg_edges").select("edge_id", name_or_null("src").alias("src"), name_or_null("dst").alias("dst"), F.lower(name_or_null("edge_type")).alias("edge_type"))
-    return extract.distinct_edges(e.dropna(), "edge_id")
+    return kept(spark, _path(d, "kg_edges"), "edges", lambda: extract.distinct_edges(e.dropna(), "edge_id"))
 
 
 def mapping(spark: SparkSession, d: str) -> DataFrame:
     m = table(spark, d, "file_mapping").select("map_id", name_or_null("id").alias("id"), name_or_null("path").alias("path"), "line")
-    return extract.last_mapping(m.filter("id IS NOT NULL"), "map_id")
+    return kept(spark, _path(d, "file_mapping"), "mapping", lambda: extract.last_mapping(m.filter("id IS NOT NULL"), "map_id"))
 
 
 def files(spark: SparkSession, d: str) -> DataFrame:
@@ -470,11 +475,26 @@ def q_vector_topk_blacklist(spark, d):
     return vector.top_k(table(spark, d, "embeddings"), _first_vector(spark, d), 5, "vec_id", "embedding", without=[0, 3]).withColumn("score", F.round("score", 6))
 
 
+@query(
+    """WITH good AS (SELECT vec_id, embeddings::DOUBLE[] AS v FROM vector_db WHERE len(embeddings) = 384 AND len(list_filter(embeddings, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0),
+    q AS (SELECT v FROM good WHERE len(list_filter(v, lambda x: x <> 0)) > 0 ORDER BY vec_id LIMIT 1)
+    SELECT vec_id, round(list_dot_product(good.v, q.v), 6) AS score FROM good, q ORDER BY round(list_dot_product(good.v, q.v), 12) DESC, vec_id LIMIT 10""",
+    views=False,
+)
+def q_vector_db_topk(spark, d):
+    v = table(spark, d, "vector_db")
+    first = v.filter(_good(F.col("embeddings"))).orderBy("vec_id").select("embeddings").first()
+    return vector.top_k(v, list(first[0]) if first else [0.0] * 384, 10, "vec_id", "embeddings").withColumn("score", F.round("score", 6))
+
+
+def _good(v) -> Column:
+    return (F.size(v) == 384) & F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists(v, lambda x: x != 0)
+
+
 def _usable(spark, d) -> DataFrame:
-    v = F.col("embeddings")
-    good = (F.size(v) == 384) & F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists(v, lambda x: x != 0)
-    rows = table(spark, d, "vector_db").filter(good & F.col("metadata.id").isNotNull())
-    return extract.first_per(rows.select(F.col("metadata.id").alias("id"), "vec_id", F.col("embeddings").alias("vec")), ["id"], "vec_id")
+    rows = table(spark, d, "vector_db").filter(_good(F.col("embeddings")) & F.col("metadata.id").isNotNull())
+    lean = rows.select(F.col("metadata.id").alias("id"), "vec_id", F.col("embeddings").alias("vec"))
+    return kept(spark, _path(d, "vector_db"), "usable", lambda: extract.first_per(lean, ["id"], "vec_id"))
 
 
 _CONTEXT = f"""+good AS (SELECT * FROM (SELECT metadata.id AS id, embeddings::DOUBLE[] AS vec, vec_id, row_number() OVER (PARTITION BY metadata.id ORDER BY vec_id) AS rn FROM vector_db

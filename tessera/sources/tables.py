@@ -12,14 +12,17 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 
 #: Paths staged within the scratch blocks that are open.
 _OPEN: list[list[str]] = []
+#: Tables that are staged once a session.
+_KEPT: dict[tuple, DataFrame] = {}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -52,24 +55,40 @@ def _file_system(spark: SparkSession, path: str):
     return where, where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
 
-def stage(df: DataFrame, label: str = "t") -> DataFrame:
+def stage(df: DataFrame, label: str = "t", keep: bool = False) -> DataFrame:
     """Write ``df`` to the shared folder and read it back.
 
     The files go when the application ends, or earlier through ``drop`` or at
-    the end of a ``scratch`` block.
+    the end of a ``scratch`` block unless they are to ``keep``.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tessera-{label}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     where, fs = _file_system(spark, path)
     fs.deleteOnExit(where)
-    for made in _OPEN:
+    for made in [] if keep else _OPEN:
         made.append(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._tessera_path = path
     return out
 
 
+def stage_any(df: DataFrame, label: str = "t") -> tuple[DataFrame, bool]:
+    """``stage``, and whether there are any rows: known from the write, without another job."""
+    seen = Observation()
+    out = stage(df.observe(seen, F.count(F.lit(1)).alias("n")), label)
+    return out, seen.get["n"] > 0
+
+
+def kept(spark: SparkSession, source: str, name: str, make: Callable[[], DataFrame]) -> DataFrame:
+    """What ``make`` gives, staged once a session for each state of the ``source`` that it is made of."""
+    where, fs = _file_system(spark, source)
+    key = (spark.sparkContext.applicationId, source, fs.getFileStatus(where).getModificationTime(), name)
+    if key not in _KEPT:
+        _KEPT[key] = stage(make(), name, keep=True)
+    return _KEPT[key]
+
+
 def together(*staged: DataFrame) -> DataFrame:
     """Staged tables of the same columns as one scan: their small files share tasks, and the plan stays small."""
     return staged[0].sparkSession.read.schema(staged[0].schema).parquet(*[df._tessera_path for df in staged])

@@ -141,3 +141,15 @@ def test_entry_nodes_and_priority(spark):
     assert graph.entry_nodes(m, "cart", triggers).count() == 0
     f = spark.createDataFrame([("z.dart", 0), ("a_bloc.dart", 1), ("b_page.dart", 2), ("b_page.dart", 3), (None, 4)], "path string, pos int")
     assert [(r.path, r.rank) for r in graph.priority(f).collect()] == [("b_page.dart", 1), ("a_bloc.dart", 2), ("z.dart", 3)]
+
+
+def test_betweenness_from_pivots(spark):
+    rng = random.Random(9)
+    names = [f"n{i:02d}" for i in range(30)]
+    e = es(spark, *{tuple(rng.sample(names, 2)) for _ in range(55)})
+    exact = {r.id: r.betweenness for r in graph.betweenness(e).collect()}
+    assert {r.id: round(r.betweenness, 6) for r in graph.betweenness(e, pivots=99).collect()} == {k: round(v, 6) for k, v in exact.items()}
+    some = {r.id: r.betweenness for r in graph.betweenness(e, pivots=15).collect()}
+    n = len(exact)
+    assert set(some) == set(exact) and max(abs(some[k] - exact[k]) for k in exact) < 0.2 * n * n / 2
+    assert graph.pivots_for(10**9, 0.01) < 10**6 and graph.pivots_for(5, 0.01) == 5
