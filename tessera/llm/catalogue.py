@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tessera.functions.text import name_or_null
 from tessera.llm.bpe import TOKENIZERS_DIR, token_count, token_ids
 from tessera.llm.mixture import mixture, shares
-from tessera.llm.neighbours import nearest, neighbour_pairs
+from tessera.llm.neighbours import exact_nearest, nearest, neighbour_pairs, recall
 from tessera.llm.setjoin import similar_sets
 from tessera.llm.sourcefiles import CUT, foreign_files
 from tessera.llm.subjects import composition, subject_areas
@@ -29,7 +29,13 @@ def p2_neighbours(spark: SparkSession, d: str) -> DataFrame:
     vectors = table(spark, d, "vector_db")
     of = vectors.select("vec_id", F.col("metadata.id").alias("class_id"), F.col("metadata.file").alias("file"))
     other = of.toDF("neighbour", "neighbour_class", "neighbour_file")
-    return nearest(vectors, "vec_id", "embeddings").join(of, "vec_id").join(other, "neighbour")
+    return nearest(vectors, "vec_id", "embeddings").withColumn("similarity", F.round("similarity", 9)).join(of, "vec_id").join(other, "neighbour")
+
+
+def p2_recall(spark: SparkSession, d: str) -> DataFrame:
+    """Recall of the neighbours of every vector whose id is divisible by 50, against all vectors."""
+    vectors = table(spark, d, "vector_db")
+    return recall(nearest(vectors, "vec_id", "embeddings"), exact_nearest(vectors, "vec_id", "embeddings"))
 
 
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
@@ -87,11 +93,22 @@ def p7_shares(spark: SparkSession, d: str) -> DataFrame:
     return shares(_mixture(spark, d), table(spark, d, "mix_targets"), "doc_id")
 
 
-QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p2_neighbours": p2_neighbours, "p5_found": p5_found, "p6_ids": p6_ids, "p7_mixture": p7_mixture, "p7_shares": p7_shares, "p8_found": p8_found, "p8_composition": p8_composition}
+QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p2_neighbours": p2_neighbours, "p2_recall": p2_recall, "p5_found": p5_found, "p6_ids": p6_ids, "p7_mixture": p7_mixture, "p7_shares": p7_shares, "p8_found": p8_found, "p8_composition": p8_composition}
 
 _TRIM = "chr(32) || chr(9) || chr(10)"
 
+_P2 = """
+WITH good AS (SELECT vec_id, embeddings::DOUBLE[] AS v, metadata.id AS c, metadata.file AS f FROM vector_db
+  WHERE len(embeddings) = 384 AND len(list_filter(embeddings, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0 AND len(list_filter(embeddings, lambda x: x <> 0)) > 0),
+pairs AS (SELECT a.vec_id, b.vec_id AS neighbour, round(list_cosine_similarity(a.v, b.v), 12) AS s FROM good a JOIN good b ON a.vec_id <> b.vec_id),
+top AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY s DESC, neighbour) AS nth FROM pairs) WHERE nth <= 10)
+"""
+
 ORACLES = {
+    "p2_found": _P2 + "SELECT DISTINCT least(vec_id, neighbour) AS vec_a, greatest(vec_id, neighbour) AS vec_b FROM top",
+    "p2_neighbours": _P2
+    + """SELECT t.vec_id, t.neighbour, round(t.s, 9) AS similarity, a.c AS class_id, a.f AS file, b.c AS neighbour_class, b.f AS neighbour_file
+FROM top t JOIN good a ON a.vec_id = t.vec_id JOIN good b ON b.vec_id = t.neighbour""",
     "p5_found": f"""
 WITH firsts AS (SELECT id, arg_min({{'m': methods, 'e': events}}, node_row) AS f FROM kg_nodes GROUP BY id),
 items AS (
