@@ -36,9 +36,10 @@ from __future__ import annotations
 import unicodedata
 from collections import Counter
 
+import numpy as np
 import pyarrow as pa
 import regex
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -62,7 +63,7 @@ ACCEPT = 0.4
 #: Share of nodes whose accepted subjects may still change at the end; rounds at most.
 SETTLED, ROUNDS = 0.005, 40
 #: Passes at most, likeness of the words of two passes that ends them, weight of an accepted sentence as a label, prior of a subject then.
-PASSES, SAME, GUESS, RARE = 4, 0.9, 0.15, 0.05
+PASSES, SAME, GUESS, RARE = 3, 0.9, 0.15, 0.05
 
 _SENTENCE = regex.compile(r"[^.!?…。！？]+")
 _WORD = regex.compile(r"\p{L}+")
@@ -113,28 +114,35 @@ def leaning(labels: DataFrame, k: int) -> DataFrame:
     return stage(top.select("word", "n", (-F.col("top.i")).alias("best")), "leaning")
 
 
-def _terms(words: list[tuple[int, int, bool]]) -> tuple[list[str], list[int]] | None:
-    """(items, own) of the content words (word, best, glued to the one before) of a sentence; None where they prove nothing."""
+def _terms(words: list[int], bests: list[int], glued: list[bool]) -> tuple[list[str], list[int]] | None:
+    """(items, own) of the content words of a sentence, each with its subject and whether it is one term with the word before; None where they prove nothing."""
     runs: list[list[int]] = []
-    bests = []
-    for word, best, glued in words:
-        if glued and runs:
+    subjects = []
+    for word, best, more in zip(words, bests, glued, strict=True):
+        if more and runs:
             runs[-1].append(word)
         else:
             runs.append([word])
-            bests.append(best)
+            subjects.append(best)
     if len(runs) < 2 and len(runs[0]) < PHRASE:
         return None
     items = [str(w) for run in runs for w in (run if len(run) >= PHRASE else ["_".join(map(str, run))])]
-    own = sorted(b for b, n in Counter(bests).items() if n > 1)
+    own = sorted(b for b, n in Counter(subjects).items() if n > 1)
     return items, own if len(own) > 1 else []
 
 
 def _composed(contents: pa.Array) -> pa.Array:
-    rows = []
-    for words in contents.to_pylist():
-        found = _terms([(w["word"], w["best"], w["glued"]) for w in sorted(words, key=lambda w: w["pos"])])
+    if isinstance(contents, pa.ChunkedArray):
+        contents = contents.combine_chunks()
+    lengths = contents.value_lengths().to_numpy(zero_copy_only=False)
+    pos, word, best, glued = (x.to_numpy(zero_copy_only=False) for x in contents.flatten().flatten())
+    order = np.lexsort((pos, np.repeat(np.arange(len(lengths)), lengths)))
+    word, best, glued = word[order].tolist(), best[order].tolist(), glued[order].tolist()
+    rows, a = [], 0
+    for n in lengths:
+        found = _terms(word[a : a + n], best[a : a + n], glued[a : a + n])
         rows.append({"items": found[0] if found else None, "own": found[1] if found else None})
+        a += n
     return pa.array(rows, pa.struct([("items", pa.list_(pa.string())), ("own", pa.list_(pa.int32()))]))
 
 
@@ -194,28 +202,35 @@ def propagated(nodes: DataFrame, edges: DataFrame, given: DataFrame, k: int, rou
 
     ``nodes`` has cls and own, ``edges`` cls (target), from (source) and similarity in both directions.
     """
-    zero = [F.lit(0.0)] * k
-    state, clamps, hot = None, None, hot_keys(given, "cls")
-    for r in range(rounds):
-        if r <= JUDGED:
+    state, clamps, hot = None, None, hot_keys(given, "cls", given.count())
+    none = F.array().cast("array<int>")
+
+    def step(now: DataFrame) -> DataFrame:
+        told = edges.join(now.select(F.col("cls").alias("from"), "f"), "from")
+        heard = told.groupBy("cls").agg(F.sum("similarity").alias("s"), *[F.sum(F.col("similarity") * F.col("f")[i]).alias(f"h{i}") for i in range(k)])
+        keeps = F.when(F.col("s").isNull(), 1.0).otherwise(CLAMP * F.col("votes") / (F.col("votes") + HALF))
+        mean, voted = [F.col(f"h{i}") / F.col("s") for i in range(k)], [F.col(f"v{i}") / F.col("votes") for i in range(k)]
+        f = [F.when(F.col("votes").isNull(), m).otherwise(keeps * v + (1 - keeps) * F.coalesce(m, F.lit(0.0))) for m, v in zip(mean, voted, strict=True)]
+        return nodes.join(heard, "cls", "left").join(clamps, "cls", "left").filter("s IS NOT NULL OR votes IS NOT NULL").select("cls", "own", F.array(*f).alias("f"))
+
+    r = 0
+    while r < rounds:
+        judges = r <= JUDGED
+        if judges:
             before, clamps = clamps, stage(_votes(given, state, k, hot), "clamps")
             drop(before)
         if state is None:
-            state = stage(clamps.select("cls", F.array(*[F.col(f"v{i}") / F.col("votes") for i in range(k)]).alias("f"), F.array().cast("array<int>").alias("accepted")), "state")
-        told = edges.join(state.select(F.col("cls").alias("from"), "f"), "from")
-        heard = told.groupBy("cls").agg(F.sum("similarity").alias("s"), *[F.sum(F.col("similarity") * F.col("f")[i]).alias(f"h{i}") for i in range(k)])
-        kept = F.when(F.col("s").isNull(), 1.0).otherwise(CLAMP * F.col("votes") / (F.col("votes") + HALF))
-        f = [
-            F.when(F.col("votes").isNull(), F.col(f"h{i}") / F.col("s")).otherwise(kept * F.col(f"v{i}") / F.col("votes") + (1 - kept) * F.coalesce(F.col(f"h{i}") / F.col("s"), z))
-            for i, z in enumerate(zero)
-        ]
-        both = nodes.join(heard, "cls", "left").join(clamps, "cls", "left").filter("s IS NOT NULL OR votes IS NOT NULL").select("cls", "own", F.array(*f).alias("f"))
-        both = both.join(state.select("cls", F.col("accepted").alias("was")), "cls", "left").withColumn("accepted", _accepted(F.col("own"), F.col("f")))
-        new = stage(both.select("cls", "f", "accepted", (~F.col("accepted").eqNullSafe(F.coalesce("was", F.array().cast("array<int>")))).alias("changed")), "state")
+            state = clamps.select("cls", F.array(*[F.col(f"v{i}") / F.col("votes") for i in range(k)]).alias("f"), none.alias("accepted"))
+        # when nothing is judged anew two rounds are one job
+        after = step(state)
+        r += 1
+        after = after.join(state.select("cls", F.col("accepted").alias("was")), "cls", "left").withColumn("accepted", _accepted(F.col("own"), F.col("f")))
+        after = after.select("cls", "f", "accepted", (~F.col("accepted").eqNullSafe(F.coalesce("was", none))).alias("changed"))
+        seen = Observation()
+        new = stage(after.observe(seen, F.count(F.lit(1)).alias("n"), F.count_if("changed").alias("changed")), "state")
         drop(state)
         state = new
-        n, changed = state.agg(F.count(F.lit(1)), F.count_if("changed")).first()
-        if r > JUDGED and changed <= SETTLED * n:
+        if not judges and seen.get["changed"] <= SETTLED * seen.get["n"]:
             break
     drop(clamps)
     return state
