@@ -28,7 +28,7 @@ from tessera.sources.tables import stage
 #: Share of the largest feasible total that is drawn; below 1, so that no mean is infinite.
 UTILISATION = 0.95
 #: A source's tokens may differ from its target by so much of it; means that are tried at once; width below which a mean is as good as known.
-TOLERANCE, TRIED, NARROW = 1e-5, 15, 1e-9
+TOLERANCE, TRIED, NARROW = 1e-4, 15, 1e-9
 
 
 def source_key(c: Column | str) -> Column:
@@ -86,21 +86,21 @@ def wanted(tokens: dict[str, int], targets: dict[str, tuple[float, int]], utilis
 
 
 def means(
-    want: dict[str, float], sums: dict[str, tuple[int, float, int]], caps: dict[str, int], drawn: Callable[[dict[str, list[float]]], dict[str, list[int]]]
+    want: dict[str, float], sums: dict[str, tuple[int, float]], caps: dict[str, int], drawn: Callable[[dict[str, list[float]]], dict[str, list[int]]]
 ) -> dict[str, float]:
     """The mean of each source at which its records really draw what is wanted.
 
-    ``sums`` has the tokens of a source, the sum of their squares and the
-    largest record, ``drawn`` counts the tokens that each of some means draws
-    from each of some sources.  A source is done as well when no more than one
-    record lies between two means.
+    ``sums`` has the tokens of a source and the sum of their squares, ``drawn``
+    counts the tokens that each of some means draws from each of some sources.
+    A source is done as well when the means around its target are ``NARROW``:
+    then only a record lies between them.
     """
-    low, high, best, grid = {}, {}, {}, {}  # low and high: (mean, tokens)
+    low, high, best, grid = {}, {}, {}, {}
     for s, w in want.items():
-        tokens, squares, _ = sums[s]
+        tokens, squares = sums[s]
         spread = min(0.5, 5 * math.sqrt(squares / tokens / w))  # five standard deviations
         steps = [1 + spread * (2 * i / (TRIED - 1) - 1) for i in range(TRIED)]
-        low[s], high[s] = (0.0, 0), (40.0 + 2 * caps[s], caps[s] * tokens)
+        low[s], high[s] = 0.0, 40.0 + 2 * caps[s]
         grid[s] = sorted({mean_for(w * x / tokens, caps[s]) for x in steps})
     while grid:
         got = drawn(grid)
@@ -109,14 +109,14 @@ def means(
                 if s not in best or abs(n - want[s]) < best[s][0]:
                     best[s] = (abs(n - want[s]), m)
                 if n < want[s]:
-                    low[s] = max(low[s], (m, n))
+                    low[s] = max(low[s], m)
                 else:
-                    high[s] = min(high[s], (m, n))
-            width = high[s][0] - low[s][0]
-            if best[s][0] <= TOLERANCE * want[s] or width <= NARROW * high[s][0] or high[s][1] - low[s][1] <= sums[s][2]:
+                    high[s] = min(high[s], m)
+            width = high[s] - low[s]
+            if best[s][0] <= TOLERANCE * want[s] or width <= NARROW * high[s]:
                 del grid[s]
             else:
-                grid[s] = [low[s][0] + width * i / (TRIED + 1) for i in range(1, TRIED + 1)]
+                grid[s] = [low[s] + width * i / (TRIED + 1) for i in range(1, TRIED + 1)]
     return {s: m for s, (_, m) in best.items()}
 
 
@@ -157,8 +157,8 @@ def mixture(
         kept.select(F.col(key).alias("key"), source_key(source).alias("source"), F.coalesce(size, F.lit(0)).cast("bigint").alias("n_tokens"), distance(seed, key).alias("distance")),
         "sized",
     )
-    of = sized.groupBy("source").agg(F.sum("n_tokens").alias("n"), F.sum(F.col("n_tokens").cast("double") * F.col("n_tokens")).alias("squares"), F.max("n_tokens").alias("largest"))
-    sums = {r.source: (r.n, r.squares, r.largest) for r in of.collect()}  # one row a listed source
+    of = sized.groupBy("source").agg(F.sum("n_tokens").alias("n"), F.sum(F.col("n_tokens").cast("double") * F.col("n_tokens")).alias("squares"))
+    sums = {r.source: (r.n, r.squares) for r in of.collect()}  # one row a listed source
     caps = {s: m for s, (_, m) in listed.items()}
 
     def drawn(grid: dict[str, list[float]]) -> dict[str, list[int]]:
