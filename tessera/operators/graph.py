@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.schema import FLOW_TYPES, IMPACT_TYPES, WIDE_FLOW_TYPES
-from tessera.sources.tables import drop, stage, stage_any, together
+from tessera.sources.tables import drop, stage, together
 
 
 def touching(edges: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -48,8 +48,8 @@ def trace_flow(edges: DataFrame, starts: DataFrame, max_depth: int = 5, types: S
     frontier, parts = seen, [seen]
     for depth in range(1, max_depth + 1):
         reached = frontier.select(F.col("id").alias("src")).join(hops, "src").select(F.col("dst").alias("id")).distinct()
-        frontier, some = stage_any(reached.join(seen.select("id"), "id", "left_anti").withColumn("depth", F.lit(depth)), "hop")
-        if not some:
+        frontier = stage(reached.join(seen.select("id"), "id", "left_anti").withColumn("depth", F.lit(depth)), "hop")
+        if frontier.isEmpty():
             break
         parts.append(frontier)
         seen = together(*parts)
@@ -89,10 +89,10 @@ def blast_radius(edges: DataFrame, start: str, max_depth: int = 4, types: Sequen
         if seen is not None:
             step = step.join(seen.select("id"), "id", "left_anti")
         best = step.groupBy("id").agg(F.min(F.struct("path", "via")).alias("m"))
-        hop, some = stage_any(best.select("id", F.lit(depth).alias("depth"), F.col("m.via").alias("via"), F.concat("m.path", F.array("id")).alias("path")), "blast")
+        hop = stage(best.select("id", F.lit(depth).alias("depth"), F.col("m.via").alias("via"), F.concat("m.path", F.array("id")).alias("path")), "blast")
         parts.append(hop)
         seen = together(*parts)
-        if not some:
+        if hop.isEmpty():
             break
         frontier = hop.select("id", "path")
     drop(back)
@@ -207,8 +207,8 @@ def betweenness(edges: DataFrame, k: int | None = None, pivots: int | None = Non
         # one hop from a level leads to that level, the one before it or the next
         far = levels[-1].withColumnRenamed("v", "src").join(both, "src").groupBy("s", F.col("dst").alias("v")).agg(F.sum("paths").alias("paths"))
         seen = levels[-1].select("s", "v") if len(levels) == 1 else together(*levels[-2:]).select("s", "v")
-        nxt, some = stage_any(far.join(seen, ["s", "v"], "left_anti"), "level")
-        if not some:
+        nxt = stage(far.join(seen, ["s", "v"], "left_anti"), "level")
+        if nxt.isEmpty():
             drop(nxt)
             break
         levels.append(nxt)
