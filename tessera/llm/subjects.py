@@ -39,7 +39,7 @@ from collections import Counter
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark.sql import Column, DataFrame, Observation, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -213,25 +213,23 @@ def propagated(nodes: DataFrame, edges: DataFrame, given: DataFrame, k: int, rou
         f = [F.when(F.col("votes").isNull(), m).otherwise(keeps * v + (1 - keeps) * F.coalesce(m, F.lit(0.0))) for m, v in zip(mean, voted, strict=True)]
         return nodes.join(heard, "cls", "left").join(clamps, "cls", "left").filter("s IS NOT NULL OR votes IS NOT NULL").select("cls", "own", F.array(*f).alias("f"))
 
-    r = 0
-    while r < rounds:
+    for r in range(rounds):
         judges = r <= JUDGED
         if judges:
             before, clamps = clamps, stage(_votes(given, state, k, hot), "clamps")
             drop(before)
         if state is None:
             state = clamps.select("cls", F.array(*[F.col(f"v{i}") / F.col("votes") for i in range(k)]).alias("f"), none.alias("accepted"))
-        # when nothing is judged anew two rounds are one job
         after = step(state)
-        r += 1
         after = after.join(state.select("cls", F.col("accepted").alias("was")), "cls", "left").withColumn("accepted", _accepted(F.col("own"), F.col("f")))
         after = after.select("cls", "f", "accepted", (~F.col("accepted").eqNullSafe(F.coalesce("was", none))).alias("changed"))
-        seen = Observation()
-        new = stage(after.observe(seen, F.count(F.lit(1)).alias("n"), F.count_if("changed").alias("changed")), "state")
+        new = stage(after, "state")
         drop(state)
         state = new
-        if not judges and seen.get["changed"] <= SETTLED * seen.get["n"]:
-            break
+        if not judges:
+            n, changed = state.agg(F.count(F.lit(1)), F.count_if("changed")).first()
+            if changed <= SETTLED * n:
+                break
     drop(clamps)
     return state
 
