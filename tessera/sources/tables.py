@@ -74,11 +74,13 @@ def stage(df: DataFrame, label: str = "t", keep: bool = False) -> DataFrame:
 
 def kept(spark: SparkSession, source: str, name: str, make: Callable[[], DataFrame]) -> DataFrame:
     """What ``make`` gives, staged once a session for each state of the ``source`` that it is made of."""
-    where, fs = _file_system(spark, source)
-    key = (spark.sparkContext.applicationId, source, fs.getFileStatus(where).getModificationTime(), name)
-    if key not in _KEPT:
-        _KEPT[key] = stage(make(), name, keep=True)
-    return _KEPT[key]
+    where, of_source = _file_system(spark, source)
+    _, fs = _file_system(spark, shared_dir(spark))
+    key = (spark.sparkContext.applicationId, source, of_source.getFileStatus(where).getModificationTime(), name)
+    made = _KEPT.get(key)
+    if made is None or not fs.exists(_file_system(spark, made._tessera_path)[0]):  # the folder may have been cleaned
+        made = _KEPT[key] = stage(make(), name, keep=True)
+    return made
 
 
 def together(*staged: DataFrame) -> DataFrame:

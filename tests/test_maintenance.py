@@ -196,3 +196,15 @@ def test_build_db_and_rules(spark, tmp_path):
     assert [r.present for r in tools.call(space, "check_steering", project_path=project, ide="cursor").collect()] == [True]
     with pytest.raises(ValueError, match="no editor"):
         tools.call(space, "check_steering", project_path=project, ide="none")
+
+
+def test_kept_tables_are_made_once_and_again_when_gone(spark, tmp_path):
+    source = str(tmp_path / "t")
+    spark.range(3).write.parquet(source)
+    made = []
+    make = lambda: made.append(1) or spark.range(3)
+    with tables.scratch(spark):
+        first = tables.kept(spark, source, "n", make)
+    assert tables.kept(spark, source, "n", make) is first and first.count() == 3 and len(made) == 1
+    tables.drop(first)
+    assert tables.kept(spark, source, "n", make).count() == 3 and len(made) == 2
