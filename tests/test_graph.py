@@ -153,3 +153,24 @@ def test_betweenness_from_pivots(spark):
     n = len(exact)
     assert set(some) == set(exact) and max(abs(some[k] - exact[k]) for k in exact) < 0.2 * n * n / 2
     assert graph.pivots_for(10**9, 0.01) < 10**6 and graph.pivots_for(5, 0.01) == 5
+
+
+def test_betweenness_held_and_by_joins_agree(spark, monkeypatch):
+    rng = random.Random(12)
+    pairs = {tuple(rng.sample([f"n{i:02d}" for i in range(16)], 2)) for _ in range(20)} | {(f"t{i}", f"t{i // 2}") for i in range(1, 9)} | {("t0", "n00"), ("x", "y")}
+    e, want = es(spark, *pairs), brandes(pairs)
+    monkeypatch.setattr(graph, "HELD_EDGES", 0)
+    joins = {r.id: r.betweenness for r in graph.betweenness(e).collect()}
+    monkeypatch.undo()
+    held = {r.id: r.betweenness for r in graph.betweenness(e).collect()}
+    assert held.keys() == joins.keys() == want.keys() and all(abs(held[v] - want[v]) < 1e-9 and abs(joins[v] - want[v]) < 1e-9 for v in want)
+
+
+def test_betweenness_of_a_large_graph_ends(spark):
+    rng = random.Random(13)
+    chain, n = [("a%05d" % i, "a%05d" % (i + 1)) for i in range(3000)], 1500  # by joins: a job for each of 3,000 levels
+    pairs = chain + [(f"n{i}", f"n{rng.randrange(n)}") for i in range(n) for _ in range(2)]
+    got = {r.id: r.betweenness for r in graph.betweenness(es(spark, *pairs), 3001 + n).collect()}
+    assert got["a01500"] == 1500.0 * 1500 and "a00000" not in got
+    some = brandes(pairs[len(chain) :])
+    assert all(abs(got.get(v, 0.0) - some[v]) <= 0.00501 for v in some)
