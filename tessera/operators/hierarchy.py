@@ -10,6 +10,10 @@ A round that finishes no node proves that the rest lies on loops or below them.
 One ancestor may be the pointer of a third of all nodes: the few hot ones are
 counted in each round, their pointer rows copied under salts, and the many
 rows that point at them spread over these.
+
+All joins are merges.  A staged table's files are far smaller than its rows
+(paths repeat one another), so that by its files it would be broadcast, through
+the driver, at sizes that the driver can't hold.
 """
 
 from __future__ import annotations
@@ -39,7 +43,7 @@ def _follow(left: DataFrame, right: DataFrame, n: int, *columns):
     hot = hot_keys(left, "anc", n)
     copies = right.withColumn("salt", salts_of(F.col("id"), hot)).alias("r")
     spread = left.withColumn("salt", salt_of(F.col("anc"), hot, F.col("id"))).alias("l")
-    return spread.join(copies, (F.col("l.anc") == F.col("r.id")) & (F.col("l.salt") == F.col("r.salt"))).select(*columns)
+    return spread.join(copies.hint("merge"), (F.col("l.anc") == F.col("r.id")) & (F.col("l.salt") == F.col("r.salt"))).select(*columns)
 
 
 def hierarchies(links: DataFrame) -> DataFrame:
@@ -58,13 +62,13 @@ def hierarchies(links: DataFrame) -> DataFrame:
     nothing = F.array().cast("array<string>")
     row = lambda anc, dist, below, ended: ["id", anc.alias("anc"), F.lit(dist).alias("dist"), below.alias("below"), F.lit(ended).alias("ended")]
     # below: the names from just under the ancestor down to the node
-    roots = links.select(F.col("parent").alias("id")).distinct().join(parents.select("id"), "id", "left_anti")
+    roots = links.select(F.col("parent").alias("id")).distinct().join(parents.select("id").hint("merge"), "id", "left_anti")
     roots = stage(roots.select(*row(F.col("id"), 0, nothing, True)), "roots")
     open_ = stage(parents.select(*row(F.col("parent"), 1, F.array("id"), False)), "open")
     done, n_open = [roots], open_.count()
     while n_open:
         # of the finished names only those that an open one points at meet in the join
-        needed = together(*done).filter("ended").join(open_.select(F.col("anc").alias("id")).distinct(), "id", "left_semi")
+        needed = together(*done).filter("ended").join(open_.select(F.col("anc").alias("id")).distinct().hint("merge"), "id", "left_semi")
         hop = stage(
             _follow(
                 open_,
@@ -89,7 +93,7 @@ def hierarchies(links: DataFrame) -> DataFrame:
     if not n_open:
         drop(parents)
         return trees
-    loops = _loops(open_.select("id").join(parents, "id"), n_open)
+    loops = _loops(open_.select("id").join(parents.hint("merge"), "id"), n_open)
     drop(parents)
     return trees.unionByName(loops)
 
@@ -117,7 +121,7 @@ def _loops(rest: DataFrame, n: int) -> DataFrame:
         ends = n_ends
     on = at.select(F.col("anc").alias("id")).distinct().withColumn("on_loop", F.lit(True))
     found = _follow(at, at, n, F.col("l.id").alias("id"), F.col("r.low").alias("root_id"))
-    rows = found.join(on, "id", "left").select(
+    rows = found.join(on.hint("merge"), "id", "left").select(
         "id",
         "root_id",
         F.when(F.col("on_loop"), -1).otherwise(-2).alias("depth"),

@@ -1,5 +1,6 @@
 import random
 
+from tessera.operators import hierarchy
 from tessera.operators.hierarchy import descendants, hierarchies
 
 LINK = "parent string, child string, edge_id bigint, id string"
@@ -53,3 +54,9 @@ def test_hot_parent(spark):
 
 def test_empty(spark):
     assert hierarchies(spark.createDataFrame([], LINK)).count() == 0
+
+
+def test_nothing_is_sent_through_the_driver(spark):
+    rows = spark.createDataFrame([("a", "b", 1), ("b", "c", 1)], "id string, anc string, dist int")
+    plan = hierarchy._follow(rows, rows, 2, "l.id", "r.anc")._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
