@@ -1,4 +1,5 @@
 import itertools
+import os
 import random
 from collections import deque
 
@@ -174,3 +175,27 @@ def test_betweenness_of_a_large_graph_ends(spark):
     assert got["a01500"] == 1500.0 * 1500 and "a00000" not in got
     some = brandes(pairs[len(chain) :])
     assert all(abs(got.get(v, 0.0) - some[v]) <= 0.00501 for v in some)
+
+
+@pytest.mark.parametrize("pivots", [None, 99])
+def test_walks_by_joins_go_in_batches_that_leave_no_files(spark, monkeypatch, pivots):
+    rng = random.Random(17)
+    pairs = {tuple(rng.sample([f"n{i:02d}" for i in range(18)], 2)) for _ in range(24)} | {("x", "y"), ("t0", "n00")}
+    monkeypatch.setattr(graph, "HELD_EDGES", 0)
+    monkeypatch.setattr(graph, "WALKED_PAIRS", 120)
+    rows, stage = [], graph.stage
+
+    def counted(df, label="t", **kw):
+        out = stage(df, label, **kw)
+        if label in ("level", "owed"):
+            rows.append((out.count(), kw, out._tessera_path.removeprefix("file://")))
+        return out
+
+    monkeypatch.setattr(graph, "stage", counted)
+    got, want = {r.id: r.betweenness for r in graph.betweenness(es(spark, *pairs), pivots=pivots).collect()}, brandes(pairs)
+    assert got.keys() == want.keys() and all(abs(got[v] - want[v]) < 1e-9 for v in want)
+    assert len(rows) > 8 and max(n for n, _, _ in rows) <= 120 and not any(os.path.exists(p) for _, _, p in rows)
+
+
+def test_a_graph_of_two_million_edges_is_held_by_tasks():
+    assert graph.HELD_EDGES > 2_000_000  # 1 GB of tables; by joins a pair of nodes each would be on disk
